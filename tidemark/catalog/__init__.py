@@ -8,6 +8,7 @@ from tidemark.catalog.common import Catalog
 
 SECTIONS = (
     "sources_facts",
+    "cube",
 )
 
 
