@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.binding import base, commerce_tables, oracle_prelude
 from tidemark.plans.shared import shared
-from tidemark.sources.contracts import DIMENSIONS
+from tidemark.sources.contracts import DIMENSIONS, SOURCE_SPECS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +57,11 @@ def r(expression: str, digits: int = 6, name: str | None = None) -> str:
 
 
 def tables_of(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return commerce_tables(spark, sf_dir, *names)
+    """Source tables derived from the given ones, each published on first use."""
+    return {
+        name: shared(spark, sf_dir, f"src-{name}", lambda name=name: commerce_tables(spark, sf_dir, name)[name])
+        for name in (names or SOURCE_SPECS)
+    }
 
 
 def dims_sql(*present: str) -> str:

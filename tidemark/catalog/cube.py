@@ -17,8 +17,8 @@ from tidemark.sources.contracts import DIMENSIONS
 C = Catalog()
 DAILY = AnalyticsConfig(time_grains=("day",))
 SLIM = AnalyticsConfig(
-    cohorts=tuple(c for c in DAILY.cohorts if c.name in ("overall", "region", "device", "issuer", "seller", "region-device")),
-    funnel_cohorts=("overall", "region", "device", "region-device"),
+    cohorts=tuple(c for c in DAILY.cohorts if c.name in ("overall", "region", "issuer")),
+    funnel_cohorts=("overall", "region"), contributions=(),
 )
 MEASURES = ("value", "numerator", "denominator")
 
@@ -256,13 +256,17 @@ def contribution_prelude() -> str:
     return materialized(fact_prelude(*used)) + f", m_daily AS MATERIALIZED ({cube_sql(CONTRIBUTION_METRICS, DAILY)}), " + contribution_sql("m_daily")
 
 
+def contribution_cube(spark, sf):
+    return shared(spark, sf, "cube-contribution", lambda: cube(spark, sf, CONTRIBUTION_METRICS, DAILY))
+
+
 def contributions(spark, sf):
-    return shared(spark, sf, "contributions", lambda: kitagawa.contribution_observations(daily_cube(spark, sf), DAILY))
+    return shared(spark, sf, "contributions", lambda: kitagawa.contribution_observations(contribution_cube(spark, sf), DAILY))
 
 
 @C.add("e1_period_pairs", contribution_prelude() + "SELECT metric_name, s0 AS baseline_period_start, s1 AS current_period_start FROM (SELECT DISTINCT metric_name, period_start AS s0, s1 FROM q WHERE s1 IS NOT NULL)")
 def e1(spark, sf):
-    rows = daily_cube(spark, sf).where(F.col("metric_name").isin(*CONTRIBUTION_METRICS) & F.col("cohort_name").isin("region", "issuer", "seller"))
+    rows = contribution_cube(spark, sf).where(F.col("cohort_name").isin("region", "issuer", "seller"))
     keep = F.col("metric_name").isin("checkout_conversion_rate", "on_time_delivery_rate") & (F.col("cohort_name") == "region")
     keep = keep | (F.col("metric_name") == "payment_approval_rate") & (F.col("cohort_name") == "issuer")
     keep = keep | (F.col("metric_name") == "inventory_exact_match_rate") & (F.col("cohort_name") == "seller")

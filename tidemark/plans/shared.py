@@ -1,29 +1,28 @@
-"""Results shared by several queries of one session, persisted once each."""
+"""Stage outputs shared by several queries of one session, written once each.
+
+A stage result is published as Parquet in the shared scratch folder and read
+back, the way stages hand over tables in production: readers get a short plan,
+measured sizes, column pruning and filter pushdown, and a lost executor costs
+nothing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_KEPT: dict[tuple[str, str, str], DataFrame | dict[str, DataFrame]] = {}
+from tidemark.sources.io import scratch_dir
 
+_PUBLISHED: dict[tuple[str, str, str], DataFrame] = {}
 
-def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The DataFrame registered under ``name`` for this application and folder.
 
-    Persisted in memory with spill to disk, so several consumers read it once;
-    a lost executor only makes Spark recompute its partitions.
-    """
+def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table published under ``name`` for this application and input folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
-        _KEPT[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-    return _KEPT[key]  # type: ignore[return-value]
-
-
-def release(spark: SparkSession) -> None:
-    """Drop everything kept for this application."""
-    app = spark.sparkContext.applicationId
-    for key in [k for k in _KEPT if k[0] == app]:
-        _KEPT.pop(key).unpersist()
+    if key not in _PUBLISHED:
+        path = scratch_dir(spark, name)
+        built = build()
+        built.write.parquet(path)
+        _PUBLISHED[key] = spark.read.schema(built.schema).parquet(path)
+    return _PUBLISHED[key]
