@@ -9,6 +9,7 @@ from tidemark.catalog.common import Catalog
 SECTIONS = (
     "sources_facts",
     "cube",
+    "quality",
 )
 
 

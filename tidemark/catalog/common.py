@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,12 +56,27 @@ def r(expression: str, digits: int = 6, name: str | None = None) -> str:
     return f"round({expression} + {NUDGE * 10.0**-digits:.6e}, {digits}) AS {label}"
 
 
-def tables_of(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+class LazyTables(Mapping):
     """Source tables derived from the given ones, each published on first use."""
-    return {
-        name: shared(spark, sf_dir, f"src-{name}", lambda name=name: commerce_tables(spark, sf_dir, name)[name])
-        for name in (names or SOURCE_SPECS)
-    }
+
+    def __init__(self, spark: SparkSession, sf_dir: str, names: Sequence[str]) -> None:
+        self._spark, self._dir, self._names = spark, sf_dir, tuple(names)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        build = lambda: commerce_tables(self._spark, self._dir, name)[name]
+        return shared(self._spark, self._dir, f"src-{name}", build)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
+def tables_of(spark: SparkSession, sf_dir: str, *names: str) -> LazyTables:
+    return LazyTables(spark, sf_dir, names or tuple(SOURCE_SPECS))
 
 
 def dims_sql(*present: str) -> str:
