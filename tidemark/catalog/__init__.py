@@ -10,6 +10,7 @@ SECTIONS = (
     "sources_facts",
     "cube",
     "quality",
+    "anomalies",
 )
 
 

@@ -94,21 +94,6 @@ def keyed_uniform(key: str | Column, seed: int | str) -> Column:
     return head / F.lit(float(16**13))
 
 
-def median_of(array: Column) -> Column:
-    """Median of a bounded array column (null when empty)."""
-    return quantile_of(array, 0.5)
-
-
-def quantile_of(array: Column, p: float) -> Column:
-    """Linear-interpolated quantile of a bounded array column."""
-    ordered = F.array_sort(array)
-    position = F.lit(p) * (F.size(array) - 1)
-    low = F.floor(position).cast("int")
-    high = F.ceil(position).cast("int")
-    below = F.get(ordered, low)
-    return F.when(F.size(array) > 0, below + (F.get(ordered, high) - below) * (position - low))
-
-
 def json_list(*flags: tuple[str, Column]) -> Column:
     """JSON array of the names whose flag is true, in the order given."""
     items = F.array(*(F.when(flag, F.lit(name)) for name, flag in flags))
