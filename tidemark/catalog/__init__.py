@@ -11,6 +11,7 @@ SECTIONS = (
     "cube",
     "quality",
     "anomalies",
+    "customers",
 )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import count_if, grain_step, json_list, micros, stable_id
+from tidemark.functions.lineage import cut
 from tidemark.functions.ordered import running
 from tidemark.functions.tails import predictive_p
 from tidemark.operators.checks import Check, run_checks, unique_check
@@ -386,6 +387,8 @@ def score_series(series: DataFrame, config: DetectionConfig, registry=REGISTRY)
     if "scenario_id" not in series.columns:
         series = series.withColumn("scenario_id", F.lit(None).cast("string"))
     rows = add_change_scores(predictive(baselines(series, config, registry)), config)
+    # Scored once, then read twice by the FDR step: keep it, without the arrays.
+    rows = cut(rows.drop("history", "baseline", "_seasonal", "_values"))
     rows = rows.withColumn("observation_id", stable_id("OBS", "series_id", "period_start"))
     rows = rows.withColumn("_family_p", F.when(F.col("is_eligible"), F.col("p_value")))
     rows = bh_fdr(rows, ["time_grain", "period_start"], "_family_p")
