@@ -12,6 +12,7 @@ SECTIONS = (
     "quality",
     "anomalies",
     "customers",
+    "operations",
 )
 
 

@@ -104,7 +104,7 @@ sc AS (SELECT f.*, CASE WHEN value IS NOT NULL THEN loc END AS expected_value,
   FROM flagged f LEFT JOIN loc USING (sid, period_start) LEFT JOIN dev USING (sid, period_start)),
 sz AS (SELECT *, value - expected_value AS residual, (value - expected_value) / robust_scale AS robust_z,
   CASE WHEN abs(expected_value) > 1e-6 THEN (value - expected_value) / abs(expected_value) END AS relative_change,
-  greatest(expected_value - 2.5::DOUBLE * robust_scale, {_bounds('minimum')}) AS expected_lower, least(expected_value + 2.5::DOUBLE * robust_scale, {_bounds('maximum')}) AS expected_upper,
+  CASE WHEN expected_value IS NOT NULL THEN greatest(expected_value - 2.5::DOUBLE * robust_scale, {_bounds('minimum')}) END AS expected_lower, CASE WHEN expected_value IS NOT NULL THEN least(expected_value + 2.5::DOUBLE * robust_scale, {_bounds('maximum')}) END AS expected_upper,
   value IS NOT NULL AND quality_status IN ('ok', 'insufficient_data') AND sample_size >= {_SAMPLE} AND points >= need AS is_eligible FROM sc),
 m_scored AS MATERIALIZED (SELECT * FROM sz)
 """
