@@ -13,6 +13,7 @@ SECTIONS = (
     "anomalies",
     "customers",
     "operations",
+    "verdicts",
 )
 
 
