@@ -14,6 +14,7 @@ SECTIONS = (
     "customers",
     "operations",
     "verdicts",
+    "overview",
 )
 
 

@@ -50,7 +50,7 @@ def decide(scored: DataFrame, policy: DecisionPolicy = DecisionPolicy()) -> Data
     p = F.col("posterior_probability")
     top = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
     rows = scored.groupBy("investigation_id").agg(
-        F.count(F.lit(1)).alias("_n"), -F.sum(F.when(p > 0, p * F.log(p))).alias("_h"), top("posterior_probability").alias("_top"),
+        F.count(F.lit(1)).alias("_n"), (-F.sum(F.when(p > 0, p * F.log(p)))).alias("_h"), top("posterior_probability").alias("_top"),
         F.max(F.when(F.col("rank") == 2, p)).alias("_second"), top("hypothesis_id").alias("_winner"),
         F.max(F.when(F.col("rank") == 1, F.size(F.array_union("supporting_evidence_ids", "contradicting_evidence_ids")))).alias("distinct_evidence"),
     )
