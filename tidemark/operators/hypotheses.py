@@ -41,7 +41,8 @@ def posteriors(hypotheses: DataFrame, evidence: DataFrame) -> DataFrame:
     whole = W.partitionBy("investigation_id")
     rows = rows.withColumn("_w", F.exp(F.col("log_evidence_score") - F.max("log_evidence_score").over(whole)))
     rows = rows.withColumn("posterior_probability", F.col("_w") / F.sum("_w").over(whole)).drop("_w")
-    order = whole.orderBy(F.col("posterior_probability").desc(), "hypothesis_id")
+    # Equal evidence summed in another order differs in the last bits; ties go by id.
+    order = whole.orderBy(F.round("posterior_probability", 12).desc(), "hypothesis_id")
     return rows.withColumn("rank", F.row_number().over(order))
 
 
