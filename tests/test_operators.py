@@ -143,7 +143,8 @@ def test_query_surface_refuses_writes_and_strangers(spark):
     rows, cut = search.bounded_sql(spark, "SELECT t.id FROM data t ORDER BY t.id", ["data"])
     assert [r["id"] for r in rows.collect()] == [1, 2] and not cut
     assert search.bounded_sql(spark, "SELECT id FROM data", ["data"], row_limit=1)[1]
-    for query in ("DROP TABLE data", "SELECT * FROM other", "CREATE TABLE x AS SELECT 1", "SELECT (SELECT max(id) FROM secret) FROM data"):
+    for query in ("DROP TABLE data", "SELECT * FROM other", "CREATE TABLE x AS SELECT 1", "SELECT (SELECT max(id) FROM secret) FROM data",
+                  "WITH other AS (SELECT * FROM other) SELECT * FROM other", "SELECT * FROM data WHERE id IN (SELECT id FROM secret)"):
         with pytest.raises(search.QueryRefused):
             search.allowed_query(spark, query, ["data"])
 

@@ -22,23 +22,33 @@ def allowed_query(spark: SparkSession, query: str, views: Iterable[str]) -> Data
     parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     if "Command" in parsed.getClass().getName() or parsed.getClass().getSimpleName().startswith(("Create", "Drop", "Insert", "Delete", "Update", "Merge", "Set")):
         raise QueryRefused("only read-only queries are allowed")
-    names, leaves = set(), parsed.collectLeaves()
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "UnresolvedRelation":
-            names.add(leaf.tableName().strip("`").lower())
-    with_names = {row.lower() for row in _cte_names(parsed)}
-    unknown = sorted(names - {v.lower() for v in views} - with_names)
+    unknown = sorted(_relations(parsed, frozenset()) - {v.lower() for v in views})
     if unknown:
         raise QueryRefused(f"relations are not registered: {unknown}")
     return spark.sql(query)
 
 
-def _cte_names(parsed) -> list[str]:
-    if parsed.getClass().getSimpleName() != "UnresolvedWith":
-        return []
-    pairs = parsed.cteRelations()
-    return [pairs.apply(i)._1() for i in range(pairs.size())]
+def _items(scala_seq) -> list:
+    return [scala_seq.apply(i) for i in range(scala_seq.size())]
+
+
+def _relations(plan, scope: frozenset[str]) -> set[str]:
+    """Names read anywhere in a parsed plan: children, subqueries and CTE bodies.
+
+    A CTE name hides a table only after its own definition.
+    """
+    kind = plan.getClass().getSimpleName()
+    if kind == "UnresolvedRelation":
+        name = plan.tableName().replace("`", "").lower()
+        return set() if name in scope else {name}
+    found: set[str] = set()
+    if kind == "UnresolvedWith":
+        for pair in _items(plan.cteRelations()):
+            found |= _relations(pair._2(), scope)
+            scope = scope | {pair._1().lower()}
+    for child in (*_items(plan.children()), *_items(plan.subqueries())):
+        found |= _relations(child, scope)
+    return found
 
 
 def bounded(df: DataFrame, row_limit: int, byte_limit: int, *, ordered: bool = False) -> tuple[DataFrame, bool]:
