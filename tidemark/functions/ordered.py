@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,17 +36,17 @@ def cut_points(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE)
     return sorted({float(q) for q in (row["q"] or [])})
 
 
-def piece_of(order: str | Column, cuts: Sequence[float]) -> Column:
-    """Range number of a value: a balanced tree of comparisons over the cut points."""
-    value = (F.col(order) if isinstance(order, str) else order).cast("double")
+def with_piece(df: DataFrame, order: str, cuts: Sequence[float], name: str = PIECE) -> DataFrame:
+    """Add the range number of a value (a JVM-side binary search over the cut points).
 
-    def tree(low: int, high: int) -> Column:
-        if low >= high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value < F.lit(cuts[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return tree(0, len(cuts))
+    Nulls and NaN go to one range of their own.
+    """
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    bucket = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep")
+    placed = bucket.transform(df.withColumn("_order", F.col(order).cast("double")))
+    return placed.withColumn(name, F.col("_bucket").cast("int")).drop("_order", "_bucket")
 
 
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}
@@ -81,7 +82,7 @@ def running(
     """
     if cuts is None:
         cuts = cut_points(df, order, rows_per_piece)
-    staged = df.withColumn(PIECE, piece_of(order, cuts))
+    staged = with_piece(df, order, cuts)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     local = (
         W.partitionBy(*keys, PIECE)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import count_if
 from tidemark.functions.lineage import cut
-from tidemark.functions.ordered import ROWS_PER_PIECE, cut_points, piece_of
+from tidemark.functions.ordered import ROWS_PER_PIECE, cut_points, with_piece
 from tidemark.operators.impact import weighted_ate
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -111,7 +111,7 @@ def match_nearest(
     scale = float(units.agg(F.stddev_pop("x")).first()[0] or 0.0) or 1.0
     limit = caliper * scale
     cuts = cut_points(units, "x", rows_per_wave)
-    units = units.withColumn("wave", piece_of("x", cuts))
+    units = with_piece(units, "x", cuts, "wave")
     sizes = {row["wave"]: row["n"] for row in units.where("exposed").groupBy("wave").agg(F.count(F.lit(1)).alias("n")).collect()}
     free = units.where("NOT exposed")
     waves: list[DataFrame] = []
