@@ -485,7 +485,9 @@ def explanation_mismatches(observations: DataFrame, config: DetectionConfig) ->
     stored = observations.withColumns({f"_stored_{n}": F.col(n) for n in names})
     again = alert_columns(stored, config)
     differs = [F.when(~F.col(n).eqNullSafe(F.col(f"_stored_{n}")), F.lit(n)) for n in names]
-    return again.select("observation_id", F.array_compact(F.array(*differs)).alias("columns")).where("size(columns) > 0")
+    # Kept before it is filtered: pushing the filter below the projections would
+    # write the whole decision out again inside the predicate.
+    return cut(again.select("observation_id", F.array_compact(F.array(*differs)).alias("columns"))).where("size(columns) > 0")
 
 
 def detection_quality(observations, events, truth, results, summary, source_errors: DataFrame) -> DataFrame:
