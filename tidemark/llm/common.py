@@ -61,3 +61,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         cut(spark.range(1))  # makes the folder of a local session
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+ship(__name__)

@@ -122,21 +122,24 @@ def build(vocabulary: list[tuple[str, int]], examples: list[tuple[int, int, list
 
 
 def monotone(points: list[tuple[float, int, float]]) -> list[tuple[float, float]]:
-    """Knots of the rising step fit (pool adjacent violators) of (votes, label, weight) points."""
-    pools: list[list[float]] = []  # weight, weighted labels, weighted votes
+    """Knots of the rising fit (pool adjacent violators) of (votes, label, weight) points: both ends of every pool."""
+    pools: list[list[float]] = []  # weight, weighted labels, lowest and highest votes
     for votes, label, weight in sorted(points):
-        pools.append([weight, weight * label, weight * votes])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+        pools.append([weight, weight * label, votes, votes])
+        while len(pools) > 1 and (pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0] or pools[-2][3] == pools[-1][2]):
             last = pools.pop()
-            pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
-    return [(v / w, y / w) for w, y, v in pools]
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
+    return [(float(v), y / w) for w, y, low, high in pools for v in dict.fromkeys((low, high))]
 
 
 def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for doc_id, toxic, fold, text in zip(batch["doc_id"], batch["toxic"], batch["fold"], batch["text"], strict=True):
-            found = counts(text)
-            yield pd.DataFrame({"doc_id": doc_id, "toxic": toxic, "fold": fold, "term": list(found), "n": list(found.values())})
+        for at in range(0, len(batch), 50):
+            part = batch.iloc[at : at + 50]
+            found = [counts(t) for t in part["text"]]
+            sizes = [len(f) for f in found]
+            out = part[["doc_id", "toxic", "fold"]].loc[part.index.repeat(sizes)].reset_index(drop=True)
+            yield out.assign(term=[t for f in found for t in f], n=[n for f in found for n in f.values()])
 
 
 def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibration: int = CALIBRATION, limit: int = TERMS) -> Index:
