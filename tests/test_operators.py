@@ -144,9 +144,22 @@ def test_query_surface_refuses_writes_and_strangers(spark):
     assert [r["id"] for r in rows.collect()] == [1, 2] and not cut
     assert search.bounded_sql(spark, "SELECT id FROM data", ["data"], row_limit=1)[1]
     for query in ("DROP TABLE data", "SELECT * FROM other", "CREATE TABLE x AS SELECT 1", "SELECT (SELECT max(id) FROM secret) FROM data",
-                  "WITH other AS (SELECT * FROM other) SELECT * FROM other", "SELECT * FROM data WHERE id IN (SELECT id FROM secret)"):
+                  "WITH other AS (SELECT * FROM other) SELECT * FROM other", "SELECT * FROM data WHERE id IN (SELECT id FROM secret)",
+                  "SHOW TABLES", "CACHE TABLE data", "REFRESH TABLE data", "TRUNCATE TABLE data", "SET a = 1", "DESCRIBE data", "EXPLAIN SELECT id FROM data", "SELECT * FROM range(3)",
+                  "SELECT reflect('java.lang.System', 'getenv') FROM data", "SELECT id FROM data WHERE java_method('java.util.UUID', 'randomUUID') = ''", "SELECT id FROM data LATERAL VIEW explode(array(1)) t AS x",
+                  "SELECT (SELECT max(current_user()) FROM data) FROM data", "SELECT id FROM data TABLESAMPLE (10 PERCENT)", "SELECT id FROM parquet.`/tmp/x`"):
         with pytest.raises(search.QueryRefused):
             search.allowed_query(spark, query, ["data"])
+    for query in ("SELECT count(*) AS n FROM data GROUP BY id HAVING count(*) > 0 ORDER BY n LIMIT 3", "SELECT id FROM data UNION ALL SELECT d.id FROM data d JOIN data e ON d.id = e.id",
+                  "WITH x AS (SELECT DISTINCT id FROM data) SELECT *, row_number() OVER (ORDER BY id) AS k FROM x WHERE EXISTS (SELECT 1 FROM data WHERE data.id = x.id)"):
+        assert search.allowed_query(spark, query, ["data"]).count() > 0
+
+
+def test_only_an_outermost_order_counts(spark):
+    spark.range(5).createOrReplaceTempView("data")
+    ids = lambda query: [r["id"] for r in search.bounded_sql(spark, query, ["data"], row_limit=2)[0].collect()]
+    assert ids("SELECT id FROM (SELECT id FROM data ORDER BY id DESC)") == [0, 1]
+    assert ids("SELECT id FROM data ORDER BY id DESC") == ids("WITH x AS (SELECT id FROM data) SELECT id FROM x ORDER BY id DESC LIMIT 4") == [4, 3]
 
 
 def test_cycles_and_trace(spark):

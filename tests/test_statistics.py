@@ -9,44 +9,65 @@ import pytest
 from tidemark.functions import tails
 
 
-def test_student_t_known_values():
-    assert tails.student_t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
-    assert tails.student_t_two_sided(0.0, 5) == pytest.approx(1.0)
-    assert tails.student_t_two_sided(float("nan"), 5) == 1.0
-    assert tails.student_t_sf(-1.0, 3) == pytest.approx(1 - tails.student_t_sf(1.0, 3))
-
-
-def test_binomial_matches_direct_sum():
-    n, p, k = 20, 0.3, 11
-    pmf = [math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(n + 1)]
-    assert tails.binomial_two_sided(k, n, p) == pytest.approx(sum(x for x in pmf if x <= pmf[k] + 1e-15), abs=1e-12)
-    assert tails.binomial_two_sided(3, 0, 0.5) == 1.0
-
-
-def test_beta_binomial_sits_between_binomial_and_five_percent():
-    exact = tails.binomial_two_sided(8, 10, 0.99)
-    p = tails.beta_binomial_two_sided(8, 10, [5.0] * 10, [5.0] * 10)
-    assert exact < p < 0.05
+def one(run, *values):
+    return float(run(*(np.array([v], dtype=float) for v in values))[0])
 
 
-def test_count_model_choice():
-    name, p = tails.count_predictive(20, [10, 11, 9, 10, 10, 9, 11])
-    assert name == "poisson" and p < 0.01
-    assert tails.count_predictive(20, [2, 20, 3, 19, 4, 18, 5])[0] == "negative-binomial"
-    assert tails.count_predictive(1, [0, 0, 0]) == ("degenerate-count", 0.0)
-    assert tails.count_predictive(1, []) == ("count-unavailable", 1.0)
-
-
-def test_blocks_do_not_change_the_sum(monkeypatch):
-    whole = tails.binomial_two_sided(480, 1000, 0.5)
-    monkeypatch.setattr(tails, "BLOCK", 37)
-    assert tails.binomial_two_sided(480, 1000, 0.5) == pytest.approx(whole, abs=1e-12)
-
-
-def test_robust_scale():
-    location, scale = tails.robust_location_scale([10, 10, 10.2, 9.8, 10.1, 500], minimum_scale=1e-6, relative_scale_floor=0.01)
-    assert location == pytest.approx(10.05) and 0.1 <= scale < 1
-    assert tails.robust_location_scale([100] * 6, minimum_scale=1e-6, relative_scale_floor=0.02) == (100.0, 2.0)
+def test_student_t_known_values():
+    assert one(tails.t_two_sided, 2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
+    assert one(tails.t_two_sided, 0.0, 5) == pytest.approx(1.0)
+    assert one(tails.t_two_sided, float("nan"), 5) == 1.0
+    assert one(tails.t_upper, -1.0, 3) == pytest.approx(1 - one(tails.t_upper, 1.0, 3))
+    assert one(tails.t_upper, float("inf"), 3) == 0.0
+    # One degree of freedom is the Cauchy law.
+    assert one(tails.t_two_sided, 3.0, 1) == pytest.approx(2 * (0.5 - math.atan(3.0) / math.pi), abs=1e-12)
+
+
+def direct(logs, k):
+    mass = [math.exp(x) for x in logs]
+    return min(1.0, sum(x for x in mass if x <= mass[k] * (1 + 1e-10) + 1e-15))
+
+
+@pytest.mark.parametrize(("n", "k", "p", "a", "b"), [(1, 0, 0.3, 1.0, 1.0), (20, 11, 0.3, 0.5, 1.5), (300, 20, 0.1, 3.0, 40.0), (2000, 900, 0.4, 80.0, 120.0), (3000, 3000, 0.9, 1.5, 0.5)])
+def test_discrete_tails_match_direct_sums(n, k, p, a, b):
+    lg = math.lgamma
+    choose = [lg(n + 1) - lg(j + 1) - lg(n - j + 1) for j in range(n + 1)]
+    assert one(tails.binomial_two_sided, k, n, p) == pytest.approx(direct([c + j * math.log(p) + (n - j) * math.log1p(-p) for j, c in enumerate(choose)], k), abs=1e-8)
+    logs = [c + lg(j + a) + lg(n - j + b) - lg(n + a + b) + lg(a + b) - lg(a) - lg(b) for j, c in enumerate(choose)]
+    assert one(tails.beta_binomial_two_sided, k, n, a, b) == pytest.approx(direct(logs, k), abs=1e-8)
+    mean, shape, support = n * p / 3, a, range(60 * n + 400)
+    assert one(tails.count_two_sided, k, mean, float("nan")) == pytest.approx(direct([j * math.log(mean) - mean - lg(j + 1) for j in support], k), abs=1e-8)
+    logs = [lg(j + shape) - lg(shape) - lg(j + 1) + shape * math.log(shape / (shape + mean)) + j * math.log(mean / (shape + mean)) for j in support]
+    assert one(tails.count_two_sided, k, mean, shape) == pytest.approx(direct(logs, k), abs=2e-7)
+
+
+def test_unusable_counts_give_one():
+    assert one(tails.binomial_two_sided, 3, 0, 0.5) == one(tails.binomial_two_sided, 5, 4, 0.5) == one(tails.beta_binomial_two_sided, 1, 2, float("nan"), 1.0) == 1.0
+    assert one(tails.count_two_sided, 1, 0.0, float("nan")) == 0.0 and one(tails.count_two_sided, 0, 0.0, float("nan")) == 1.0
+
+
+def test_large_counts_agree_with_the_normal_law():
+    n, p = 1e9, 0.4
+    for z in (0.5, 2.0, 5.0):
+        k = round(n * p + z * math.sqrt(n * p * (1 - p)))
+        assert one(tails.binomial_two_sided, k, n, p) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=2e-3)
+    # A beta-binomial of a billion trials is its beta prior.
+    assert one(tails.beta_binomial_two_sided, 5e8, 1e9, 1.0, 2.0) == pytest.approx(0.25, abs=1e-6)
+    assert one(tails.incomplete_beta, 30.0, 90.0, 0.25) == pytest.approx(0.5, abs=0.02)
+
+
+def test_column_priors_and_laws(spark):
+    from tidemark.operators import detection as det
+
+    rows = spark.createDataFrame([(8.0, 10.0, [5.0] * 10, [5.0] * 10, 20.0, [10.0, 11.0, 9.0, 10.0, 10.0, 9.0, 11.0]), (1.0, 2.0, [], [], 20.0, [2.0, 20.0, 3.0, 19.0, 4.0, 18.0, 5.0]), (1.0, 2.0, [1.0, 9.0], [0.0, 5.0], 1.0, [0.0] * 3), (1.0, 2.0, None, None, 1.0, [])], "k double, n double, hk array<double>, hn array<double>, x double, h array<double>")
+    rows = det.log_t_p_value(det.count_law(det.beta_prior(rows, "hk", "hn", "a", "b"), "h", "m", "s"), rows["x"], "h", "log_p")
+    from pyspark.sql import functions as F
+
+    got = rows.select("a", det.count_family(F.col("x"), "m", "s").alias("family"), det.count_p_value(F.col("x"), "m", "s").alias("p"), tails.beta_binomial_p("k", "n", "a", "b").alias("bp"), "log_p").collect()
+    assert [r["family"] for r in got] == ["poisson", "negative-binomial", "degenerate-count", "count-unavailable"]
+    assert got[0]["p"] < 0.01 and got[2]["p"] == 0.0 and got[3]["p"] == 1.0
+    assert one(tails.binomial_two_sided, 8, 10, 0.99) < got[0]["bp"] < 0.05 and got[1]["a"] is None and got[1]["bp"] == 1.0
+    assert got[0]["log_p"] < 0.01 and got[3]["log_p"] == 1.0
 
 
 def test_greedy_pairs_equal_the_serial_rule():

@@ -194,7 +194,8 @@ def h11(spark, sf):
     days = _daily_events(spark, sf)
     past = W.partitionBy("event_type").orderBy("day").rowsBetween(-14, -1)
     rows = days.withColumns({"hk": F.collect_list("k").over(past), "hn": F.collect_list("n").over(past)}).where("size(hk) > 0")
-    return rounded(rows.select("day", "event_type", tails.beta_binomial_p("k", "n", "hk", "hn").alias("p_value")), 5)
+    rows = det.beta_prior(rows, "hk", "hn", "a", "b")
+    return rounded(rows.select("day", "event_type", tails.beta_binomial_p("k", "n", "a", "b").alias("p_value")), 5)
 
 
 def _daily_events(spark, sf):
@@ -214,7 +215,8 @@ SELECT day, event_type, CASE WHEN bool_or(over) THEN 'negative-binomial' ELSE 'p
 def h12(spark, sf):
     past = W.partitionBy("event_type").orderBy("day").rowsBetween(-14, -1)
     rows = _daily_events(spark, sf).withColumn("h", F.collect_list("n").over(past)).where("size(h) > 0")
-    return rounded(rows.withColumn("p", tails.count_p("n", "h")).select("day", "event_type", "p.distribution_name", "p.p_value"), 5)
+    rows = det.count_law(rows, "h", "mean", "shape")
+    return rounded(rows.select("day", "event_type", det.count_family(F.col("n"), "mean", "shape").alias("distribution_name"), det.count_p_value(F.col("n"), "mean", "shape").alias("p_value")), 5)
 
 
 @C.add("h13_log_student_t")
@@ -222,7 +224,7 @@ def h13(spark, sf):
     days = base(spark, sf, "events").groupBy(period_start("ts", "day").alias("day"), "event_type").agg(F.sum("value").alias("v"))
     past = W.partitionBy("event_type").orderBy("day").rowsBetween(-14, -1)
     rows = days.withColumn("h", F.collect_list("v").over(past)).where("size(h) > 0")
-    return rows.select("day", "event_type", tails.log_t_p("v", "h").alias("p_value"))
+    return det.log_t_p_value(rows, F.col("v"), "h", "p_value").select("day", "event_type", "p_value")
 
 
 @C.add("h14_distribution_router", SCORE_SQL + """

@@ -104,10 +104,10 @@ def i11(spark, sf):
 def scored(spark, sf):
     def build():
         standard = causal.standardize(features(spark, sf), impact.PROPENSITY_FEATURES)
-        with_score, _ = causal.propensity(standard, impact.PROPENSITY_FEATURES)
+        with_score, converged = causal.propensity(standard, impact.PROPENSITY_FEATURES)
         weighted = causal.iptw(with_score.select("customer_id", "propensity_score"
                                ).join(features(spark, sf), "customer_id"), CONFIG.propensity_clip)
-        return weighted
+        return weighted.withColumn("propensity_converged", F.lit(float(converged)))
 
     return shared(spark, sf, "scored-customers", build)
 
@@ -277,7 +277,7 @@ def model_metrics(spark, sf):
         att = impact.true_att(rows).first()["true_att"]
         arms = rows.where("exposed").count()
         est = estimates(spark, sf).where("estimator = 'stabilized_iptw'").first()["estimate"]
-        listed = [("cox_ph", "c_index", c_index), ("cox_ph", "brier_score", brier), ("cox_ph", "converged", float(fit.converged)), ("propensity", "converged", 1.0),
+        listed = [("cox_ph", "c_index", c_index), ("cox_ph", "brier_score", brier), ("cox_ph", "converged", float(fit.converged)), ("propensity", "converged", rows.agg(F.min("propensity_converged")).first()[0]),
                   ("propensity", "max_abs_smd_before", before), ("propensity", "max_abs_smd_after", after), ("propensity", "matched_exposure_share", pairs(spark, sf).count() / max(arms, 1)),
                   ("benchmark", "true_att", att), ("sensitivity", "bias_to_null", abs(est)), ("placebo", "absolute_estimate", abs(placebo(spark, sf) or 0.0))]
         return spark.createDataFrame(listed, "model string, metric string, value double")

@@ -223,10 +223,11 @@ def j16(spark, sf):
 # ---------------------------------------------------------------------- K
 
 
-@C.add("k1_bounded_sql", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2 ORDER BY 1, 2, 3 LIMIT 40")
+@C.add("k1_bounded_sql", "WITH g AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) SELECT *, (SELECT count(*) FROM g) > 40 AS truncated FROM g ORDER BY 1, 2, 3 LIMIT 40")
 def k1(spark, sf):
     io.register(spark, {"stream": {"events": base(spark, sf, "events")}})
-    return search.bounded_sql(spark, "SELECT event_type, user_id, count(*) AS n FROM stream__events GROUP BY event_type, user_id", ["stream__events"], row_limit=40)[0]
+    rows, truncated = search.bounded_sql(spark, "SELECT event_type, user_id, count(*) AS n FROM stream__events GROUP BY event_type, user_id", ["stream__events"], row_limit=40)
+    return rows.withColumn("truncated", F.lit(truncated))
 
 
 @C.add("k2_allowed_relations", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -121,7 +121,19 @@ def q2(spark, sf):
     return rounded(out.groupBy("series").agg(F.count(F.lit(1)).alias("points"), F.max("cusum_score").alias("peak")), 4)
 
 
-@C.add("q3_stream_lifecycle")
+@C.add("q3_stream_lifecycle", """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS incident, ts AS t, CASE event_type WHEN 'purchase' THEN 'recovered' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'insufficient_data' ELSE 'recovering' END AS decision, COALESCE(value > 300, false) AS severe FROM events),
+n AS (SELECT *, decision NOT IN ('recovered', 'insufficient_data') AS bad, row_number() OVER w AS generation, sum((decision = 'recovered')::INT) OVER w AS goods, sum((decision NOT IN ('recovered', 'insufficient_data'))::INT) OVER w AS bads
+ FROM e WINDOW w AS (PARTITION BY incident ORDER BY t, decision, severe ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, max(CASE WHEN decision = 'recovered' THEN bads ELSE 0 END) OVER g AS settled, last_value(CASE WHEN decision <> 'insufficient_data' THEN decision = 'recovered' END IGNORE NULLS) OVER g AS held FROM n WINDOW g AS (PARTITION BY incident ORDER BY generation ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, CASE WHEN goods > 0 THEN bads - settled ELSE 0 END AS failed FROM b),
+o AS (SELECT *, bad AND (severe OR (goods > 0 AND failed >= 2)) AS opens FROM f),
+p AS (SELECT *, min(generation) FILTER (opens) OVER (PARTITION BY incident) AS opened FROM o),
+z AS (SELECT *, max(failed) FILTER (generation = opened) OVER (PARTITION BY incident) AS frozen FROM p)
+SELECT incident, t AS "at", generation, CASE WHEN generation >= opened THEN 'reopened' WHEN decision = 'recovered' OR (decision = 'insufficient_data' AND held) THEN 'recovered' ELSE 'monitoring' END AS status,
+ CAST(CASE WHEN generation >= opened THEN frozen ELSE failed END AS BIGINT) AS failures,
+ CASE WHEN generation > opened THEN 'incident_already_reopened' WHEN decision = 'recovered' THEN 'recovery_verified' WHEN decision = 'insufficient_data' THEN 'recovery_evidence_gap'
+  WHEN opens AND severe THEN 'severe_guardrail_regression' WHEN opens THEN 'sustained_recovery_regression' WHEN goods > 0 THEN 'regression_observed' ELSE 'recovery_not_yet_verified' END AS "trigger" FROM z""")
 def q3(spark, sf):
     decision = F.when(F.col("event_type") == "purchase", "recovered").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "insufficient_data").otherwise("recovering")
     stream = event_stream(spark, sf).where("event_type <> '_closing'").select(F.col("user_id").cast("string").alias("incident"), F.col("ts").alias("at"), decision.alias("decision"), (F.col("value") > 300).alias("severe"))

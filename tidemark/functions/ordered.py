@@ -4,13 +4,15 @@ A SQL window with ``partitionBy(group)`` sorts a complete group inside one task.
 That is fine for bounded groups but not when one group may hold a third of the
 table.  Here a group is additionally cut into value ranges: every range is
 summed on its own, the short list of range totals is accumulated per group, and
-the offsets are joined back.  The cut points are quantiles of the order column
-over all rows, so one (group, range) piece holds at most about
-``rows_per_piece`` rows whatever the group sizes are.
+the offsets are joined back.  The cut points come from Spark's range partitioning of the
+order column over all rows, so one (group, range) piece holds about ``rows_per_piece`` rows
+whatever the group sizes are; only rows of one equal value stay together, and callers reduce
+those to one row with a count first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -19,21 +21,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_PIECE = 1_000_000
-MAX_CUTS = 1023
+LEAST_PIECES = 4
 PIECE = "_piece"
 
 
-def cut_points(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE) -> list[float]:
-    """At most ``MAX_CUTS`` doubles splitting ``order`` into even ranges (one small job)."""
-    total = df.count()
-    pieces = min(MAX_CUTS + 1, -(-total // max(rows_per_piece, 1)))
+def cut_points(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE, least: int = LEAST_PIECES) -> list[float]:
+    """Upper ends of even ranges of ``order``, as Spark's range partitioning places them.
+
+    The number of ranges follows the number of rows without a cap, and is never below
+    ``least``, so small and large tables run the same plan.  The driver receives one number
+    per range.
+    """
+    values = df.select(F.col(order).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    pieces = max(least, -(-df.count() // max(rows_per_piece, 1)))
     if pieces <= 1:
         return []
-    probabilities = [i / pieces for i in range(1, pieces)]
-    row = df.agg(
-        F.percentile_approx(F.col(order).cast("double"), probabilities, max(10_000, 20 * pieces)).alias("q")
-    ).first()
-    return sorted({float(q) for q in (row["q"] or [])})
+    ends = values.repartitionByRange(pieces, "_v").groupBy(F.spark_partition_id().alias("_p")).agg(F.max("_v").alias("end"))
+    return sorted({row["end"] for row in ends.collect() if math.isfinite(row["end"])})
 
 
 def with_piece(df: DataFrame, order: str, cuts: Sequence[float], name: str = PIECE) -> DataFrame:

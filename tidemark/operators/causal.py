@@ -110,7 +110,7 @@ def match_nearest(
     units = cut(units)
     scale = float(units.agg(F.stddev_pop("x")).first()[0] or 0.0) or 1.0
     limit = caliper * scale
-    cuts = cut_points(units, "x", rows_per_wave)
+    cuts = cut_points(units, "x", rows_per_wave, least=1)
     units = with_piece(units, "x", cuts, "wave")
     sizes = {row["wave"]: row["n"] for row in units.where("exposed").groupBy("wave").agg(F.count(F.lit(1)).alias("n")).collect()}
     free = units.where("NOT exposed")

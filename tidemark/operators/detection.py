@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import count_if, grain_step, json_list, micros, stable_id
 from tidemark.functions.lineage import cut
-from tidemark.functions.ordered import running
-from tidemark.functions.tails import predictive_p
+from tidemark.functions.ordered import cut_points, running
+from tidemark.functions import tails
 from tidemark.operators.checks import Check, run_checks, unique_check
 from tidemark.operators.registry import REGISTRY
 from tidemark.plans.config import DetectionConfig, Scenario
@@ -244,15 +244,83 @@ def baselines(series: DataFrame, config: DetectionConfig, registry=REGISTRY) ->
     return rows.withColumn("is_eligible", eligible)
 
 
+def beta_prior(rows: DataFrame, tops: str, bottoms: str, a: str, b: str) -> DataFrame:
+    """Beta prior of a proportion from bounded arrays of past successes and trials.
+
+    The spread of the past proportions beyond what their trials explain sets how many
+    trials the prior is worth, between 2 and 200.  No usable past gives null.
+    """
+    pairs = F.arrays_zip(F.col(tops).alias("k"), F.col(bottoms).alias("n"))
+    usable = F.filter(pairs, lambda x: (F.abs(x["n"]) < math.inf) & (x["n"] > 0) & (x["k"] >= 0) & (x["k"] <= x["n"]))
+    total = lambda array, term: F.aggregate(array, F.lit(0.0), lambda so_far, x: so_far + term(x))
+    rows = rows.withColumn("_past", usable).withColumns({"_trials": total("_past", lambda x: x["n"]), "_hits": total("_past", lambda x: x["k"])})
+    centre = (F.col("_hits") + 0.5) / (F.col("_trials") + 1.0)
+    rows = rows.withColumn("_centre", F.least(F.greatest(centre, F.lit(1e-6)), F.lit(1.0 - 1e-6))).withColumn("_noise", F.col("_centre") * (1.0 - F.col("_centre")))
+    # A weight n / trials times the noise of one period, noise / n, is noise / trials for each period.
+    seen = F.try_divide(total("_past", lambda x: x["n"] * F.pow(x["k"] / x["n"] - F.col("_centre"), 2)), F.col("_trials"))
+    extra = seen - F.try_divide(F.size("_past") * F.col("_noise"), F.col("_trials"))
+    alike = F.least(F.greatest(extra / F.col("_noise"), F.lit(1e-6)), F.lit(0.5))
+    worth = F.when((extra > TINY) & (F.col("_noise") > TINY), 1.0 / alike - 1.0).otherwise(F.col("_trials") + 1.0)
+    rows = rows.withColumn("_worth", F.when(F.size("_past") > 0, F.least(F.greatest(worth, F.lit(2.0)), F.lit(200.0))))
+    side = lambda share: F.when(F.col("_worth").isNotNull(), F.greatest(share * F.col("_worth"), F.lit(0.5)))
+    return rows.withColumns({a: side(F.col("_centre")), b: side(1.0 - F.col("_centre"))}).drop("_past", "_trials", "_hits", "_centre", "_noise", "_worth")
+
+
+def count_law(rows: DataFrame, values: str, mean: str, shape: str) -> DataFrame:
+    """Mean of past counts, and the shape of a negative binomial where they vary more than Poisson counts; null without a past."""
+    finite = F.filter(values, lambda x: F.abs(x) < math.inf)
+    add = lambda array, term: F.aggregate(array, F.lit(0.0), lambda so_far, x: so_far + term(x))
+    rows = rows.withColumn("_counts", finite).withColumn(mean, F.try_divide(add("_counts", lambda x: x), F.size("_counts")))
+    spread = F.try_divide(add("_counts", lambda x: F.pow(x - F.col(mean), 2)), F.size("_counts") - 1)
+    rows = rows.withColumn("_spread", F.coalesce(spread, F.col(mean)))
+    wide = F.col("_spread") > F.col(mean) + F.greatest(F.lit(1e-9), 0.05 * F.col(mean))
+    return rows.withColumn(shape, F.when(wide & (F.col(mean) > TINY), F.col(mean) * F.col(mean) / (F.col("_spread") - F.col(mean)))).drop("_counts", "_spread")
+
+
+def count_family(observed: Column, mean: str, shape: str) -> Column:
+    """Name of the law a count is judged by."""
+    usable = F.col(mean).isNotNull() & (observed >= 0) & (observed < math.inf)
+    return F.when(~F.coalesce(usable, F.lit(False)), "count-unavailable").when(F.col(mean) <= TINY, "degenerate-count").when(F.col(shape).isNotNull(), "negative-binomial").otherwise("poisson")
+
+
+def count_p_value(observed: Column, mean: str, shape: str) -> Column:
+    usable = count_family(observed, mean, shape) != "count-unavailable"
+    return F.when(usable, tails.count_p(observed, F.coalesce(mean, F.lit(0.0)), F.col(shape))).otherwise(F.lit(1.0))
+
+
+def log_t_p_value(rows: DataFrame, observed: Column, values: str, p: str) -> DataFrame:
+    """Two-sided p of an amount under Student's t on the log scale of a bounded past; 1 without a past."""
+    logs = F.transform(F.filter(values, lambda x: (x >= 0) & (x < math.inf)), lambda x: F.log1p(x))
+    rows = with_location_scale(rows.withColumn("_logs", logs), "_logs", F.lit(1e-6), F.lit(0.01), "_log_location", "_log_scale")
+    known = (observed >= 0) & (observed < math.inf) & (F.size("_logs") > 0)
+    z = F.when(known, (F.log1p(observed) - F.col("_log_location")) / F.col("_log_scale"))
+    return rows.withColumn(p, tails.t_two_sided_p(z, F.greatest(F.size("_logs") - 1, F.lit(1)).cast("double"))).drop("_logs", "_log_location", "_log_scale")
+
+
 def predictive(rows: DataFrame) -> DataFrame:
-    """Distribution name and p-value of eligible rows (Arrow batches of bounded histories)."""
-    paired = F.filter("baseline", lambda p: p["numerator"].isNotNull() & p["denominator"].isNotNull())
+    """Distribution name and p-value of eligible rows; moments and routing are columns, only tails are Python."""
     scored = F.when(F.col("is_eligible"), F.col("value"))
-    p = predictive_p(
-        "metric_type", "calculation", scored, "numerator", "denominator", "robust_z", "_values",
-        F.transform(paired, lambda x: x["numerator"]), F.transform(paired, lambda x: x["denominator"]),
+    paired = F.filter("baseline", lambda p: p["numerator"].isNotNull() & p["denominator"].isNotNull())
+    rows = rows.withColumns({"_tops": F.transform(paired, lambda x: x["numerator"]), "_bottoms": F.transform(paired, lambda x: x["denominator"])})
+    rows = count_law(beta_prior(rows, "_tops", "_bottoms", "_a", "_b"), "_values", "_count_mean", "_count_shape")
+    kind = F.col("metric_type")
+    route = (
+        F.when(scored.isNull() | F.isnan(scored), "unavailable")
+        .when((kind == "ratio") & F.col("numerator").isNotNull() & F.col("denominator").isNotNull(), "empirical-beta-binomial")
+        .when((kind == "count") & F.col("calculation").isin("count", "distinct_count"), count_family(scored, "_count_mean", "_count_shape"))
+        .when(kind.isin("currency", "duration"), "robust-log-student-t").otherwise("robust-student-t")
     )
-    return rows.withColumn("_p", p).withColumns({"distribution_name": F.col("_p.distribution_name"), "p_value": F.col("_p.p_value")}).drop("_p")
+    rows = rows.withColumn("distribution_name", route)
+    only = lambda name, value: F.when(F.col("distribution_name") == name, value)
+    rows = log_t_p_value(rows, only("robust-log-student-t", scored), "_values", "_log_p")
+    rows = rows.withColumns({
+        "_beta_p": tails.beta_binomial_p(only("empirical-beta-binomial", F.col("numerator")), F.col("denominator"), F.col("_a"), F.col("_b")),
+        "_count_p": count_p_value(scored, "_count_mean", "_count_shape"),
+        "_t_p": tails.t_two_sided_p("robust_z", F.greatest(F.size("_values") - 1, F.lit(1)).cast("double")),
+    })
+    name = F.col("distribution_name")
+    p = F.when(name == "empirical-beta-binomial", F.col("_beta_p")).when(name == "robust-log-student-t", F.col("_log_p")).when(name == "robust-student-t", F.col("_t_p")).when(name != "unavailable", F.col("_count_p"))
+    return rows.withColumn("p_value", p).drop("_tops", "_bottoms", "_a", "_b", "_count_mean", "_count_shape", "_log_p", "_beta_p", "_count_p", "_t_p")
 
 
 # ------------------------------------------------------- cusum and sequential
@@ -306,10 +374,6 @@ def add_change_scores(rows: DataFrame, config: DetectionConfig) -> DataFrame:
 
 # ------------------------------------------------------- false discovery rate
 
-# P-values live in [0, 1], so the ranges need no sampling job.
-P_CUTS = (1e-12, 1e-9, 1e-7, 1e-6, 1e-5, 1e-4, 1e-3, *(i / 100 for i in range(1, 100)), 1.0)
-
-
 def bh_fdr(rows: DataFrame, family: Sequence[str], p: str, q: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg q-values within each family; rows with a null p get none.
 
@@ -320,9 +384,10 @@ def bh_fdr(rows: DataFrame, family: Sequence[str], p: str, q: str = "q_value") -
     cleaned = F.when(F.isnan(p), 1.0).otherwise(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)))
     rows = rows.withColumn("_p", cleaned)
     distinct = rows.where(F.col(p).isNotNull()).groupBy(*family, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(distinct, family, "_p", {"_rank": ("sum", "_n")}, cuts=P_CUTS, totals=["_rank"])
+    cuts = cut_points(distinct, "_p")
+    ranked = running(distinct, family, "_p", {"_rank": ("sum", "_n")}, cuts=cuts, totals=["_rank"])
     ranked = ranked.withColumn("_raw", F.col("_p") * F.col("_rank_total") / F.col("_rank"))
-    stepped = running(ranked, family, "_p", {"_q": ("min", "_raw")}, descending=True, cuts=P_CUTS)
+    stepped = running(ranked, family, "_p", {"_q": ("min", "_raw")}, descending=True, cuts=cuts)
     table = stepped.select(*family, "_p", F.least(F.greatest("_q", "_p"), F.lit(1.0)).alias(q))
     return rows.join(table, [*family, "_p"], "left").drop("_p")
 

@@ -139,7 +139,10 @@ def same_cases(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Metric deltas and paired wins and losses."""
+    """Metric deltas and paired wins and losses; both runs must hold each case once."""
+    strays = [row["case_id"] for row in same_cases(left, right).orderBy("case_id").limit(5).collect()]
+    if strays:
+        raise ValueError(f"runs cannot be paired: cases that are not once in each run, such as {', '.join(map(str, strays))}")
     d = paired_deltas(left, right)
     return d.agg(
         F.count(F.lit(1)).alias("cases"), F.avg("top1_correct").alias("top1_delta"), F.avg("primary_top1_correct").alias("primary_top1_delta"), F.avg("brier_score").alias("brier_delta"), F.avg("clipped_log_loss").alias("log_loss_delta"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import codes, micros
-from tidemark.functions.ordered import running
+from tidemark.functions.ordered import cut_points, running
 from tidemark.functions.tails import t_upper_tail
 from tidemark.operators.detection import _middle
 from tidemark.plans.config import RecoveryConfig
@@ -182,21 +182,22 @@ def lifecycle(reports: DataFrame, config: RecoveryConfig, *, key: str = "inciden
     one = lambda c: c.cast("bigint")
     decided = F.col("decision")
     rows = reports.withColumns({"_t": micros(at), "_ok": one(decided == "recovered"), "_bad": one(~decided.isin("recovered", "insufficient_data"))}).withColumn("_one", F.lit(1).cast("bigint"))
-    rows = running(rows, [key], "_t", {"generation": ("sum", "_one"), "_oks": ("sum", "_ok"), "_bads": ("sum", "_bad")})
+    cuts = cut_points(rows, "_t")
+    rows = running(rows, [key], "_t", {"generation": ("sum", "_one"), "_oks": ("sum", "_ok"), "_bads": ("sum", "_bad")}, cuts=cuts)
     rows = rows.withColumns({
         "_bads_at_ok": F.when(F.col("_ok") == 1, F.col("_bads")).otherwise(F.lit(0)),
         "_last": F.when(decided == "insufficient_data", F.lit(0)).otherwise(F.col("generation") * 2 + F.col("_ok")),
     })
-    rows = running(rows, [key], "_t", {"_base": ("max", "_bads_at_ok"), "_latest": ("max", "_last")})
+    rows = running(rows, [key], "_t", {"_base": ("max", "_bads_at_ok"), "_latest": ("max", "_last")}, cuts=cuts)
     ever = (F.col("_oks") - F.col("_ok")) > 0
     failures = F.when(F.col("_oks") > 0, F.col("_bads") - F.col("_base")).otherwise(F.lit(0))
     severe = F.col("severe_guardrail_breach") & F.lit(config.immediate_reopen_on_severe_guardrail)
     worn = ever & (failures >= config.reopen_after_consecutive_failures)
     rows = rows.withColumns({"_failures": failures, "_severe": severe, "_opens": (F.col("_bad") == 1) & (severe | worn)})
     rows = rows.withColumns({"_open_at": F.when(F.col("_opens"), F.col("generation"))})
-    rows = running(rows, [key], "_t", {"_opened": ("min", "_open_at")})
+    rows = running(rows, [key], "_t", {"_opened": ("min", "_open_at")}, cuts=cuts)
     rows = rows.withColumn("_frozen_here", F.when(F.col("generation") == F.col("_opened"), F.col("_failures")))
-    rows = running(rows, [key], "_t", {"_frozen": ("max", "_frozen_here")})
+    rows = running(rows, [key], "_t", {"_frozen": ("max", "_frozen_here")}, cuts=cuts)
     reopened, after = F.col("_opened").isNotNull(), F.col("generation") > F.col("_opened")
     held = (F.col("_latest") % 2) == 1
     status = F.when(reopened, "reopened").when(decided == "recovered", "recovered").when((decided == "insufficient_data") & held, "recovered").otherwise("monitoring")

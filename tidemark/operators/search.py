@@ -9,22 +9,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import cut
 
 class QueryRefused(ValueError):
     """The statement is not a read-only query over the allowed tables."""
 
 
-def allowed_query(spark: SparkSession, query: str, views: Iterable[str]) -> DataFrame:
-    """Analyse a query and refuse commands and tables outside the list.
+# Parsed plan nodes of a read-only query, and built-in functions that reach outside the data.
+READ_NODES = frozenset(
+    "Project Filter Aggregate Join Union Intersect Except Distinct Sort GlobalLimit LocalLimit Offset SubqueryAlias UnresolvedSubqueryColumnAliases "
+    "UnresolvedWith UnresolvedRelation UnresolvedHaving WithWindowDefinition OneRowRelation UnresolvedInlineTable".split()
+)
+REFUSED_FUNCTIONS = frozenset(
+    "reflect try_reflect java_method input_file_name input_file_block_start input_file_block_length current_catalog current_database current_schema current_user session_user user version "
+    "spark_partition_id monotonically_increasing_id raise_error assert_true getvariable try_variable".split()
+)
 
-    Spark's own analyser resolves names; only the set of relations is compared.
-    """
+
+def _read(spark: SparkSession, query: str, views: Iterable[str], refused: frozenset[str]):
+    """The parsed plan of a query that only reads the allowed tables."""
     parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    if "Command" in parsed.getClass().getName() or parsed.getClass().getSimpleName().startswith(("Create", "Drop", "Insert", "Delete", "Update", "Merge", "Set")):
-        raise QueryRefused("only read-only queries are allowed")
-    unknown = sorted(_relations(parsed, frozenset()) - {v.lower() for v in views})
-    if unknown:
+    nodes, functions, relations = set(), set(), set()
+    _walk(parsed, frozenset(), nodes, functions, relations)
+    if extra := sorted(nodes - READ_NODES):
+        raise QueryRefused(f"only plain read queries are accepted, not {', '.join(extra)}")
+    if called := sorted(functions & refused):
+        raise QueryRefused(f"functions outside the data are not accepted: {', '.join(called)}")
+    if unknown := sorted(relations - {v.lower() for v in views}):
         raise QueryRefused(f"relations are not registered: {unknown}")
+    return parsed
+
+
+def allowed_query(spark: SparkSession, query: str, views: Iterable[str], refused_functions: frozenset[str] = REFUSED_FUNCTIONS) -> DataFrame:
+    """Analyse a query made of :data:`READ_NODES` over the listed tables; anything else is refused.
+
+    Commands, table functions, sampling and generators are not among the nodes.  Spark's own
+    analyser resolves names and columns afterwards.
+    """
+    _read(spark, query, views, refused_functions)
     return spark.sql(query)
 
 
@@ -32,23 +54,40 @@ def _items(scala_seq) -> list:
     return [scala_seq.apply(i) for i in range(scala_seq.size())]
 
 
-def _relations(plan, scope: frozenset[str]) -> set[str]:
-    """Names read anywhere in a parsed plan: children, subqueries and CTE bodies.
+def _walk(plan, scope: frozenset[str], nodes: set[str], functions: set[str], relations: set[str]) -> None:
+    """Node kinds, function names and tables anywhere in a parsed plan: children, subqueries and CTE bodies.
 
     A CTE name hides a table only after its own definition.
     """
-    kind = plan.getClass().getSimpleName()
+    kind = plan.getClass().getSimpleName().rstrip("$")
+    nodes.add(kind)
     if kind == "UnresolvedRelation":
         name = plan.tableName().replace("`", "").lower()
-        return set() if name in scope else {name}
-    found: set[str] = set()
+        if name not in scope:
+            relations.add(name)
+        return
     if kind == "UnresolvedWith":
         for pair in _items(plan.cteRelations()):
-            found |= _relations(pair._2(), scope)
+            _walk(pair._2(), scope, nodes, functions, relations)
             scope = scope | {pair._1().lower()}
+    for expression in _items(plan.expressions()):
+        _calls(expression, functions)
     for child in (*_items(plan.children()), *_items(plan.subqueries())):
-        found |= _relations(child, scope)
-    return found
+        _walk(child, scope, nodes, functions, relations)
+
+
+def _calls(expression, functions: set[str]) -> None:
+    if expression.getClass().getSimpleName() == "UnresolvedFunction":
+        functions.add(_items(expression.nameParts())[-1].lower())
+    for child in _items(expression.children()):
+        _calls(child, functions)
+
+
+def _ordered(parsed) -> bool:
+    """Whether the outermost rows of a parsed query have an order."""
+    while parsed.getClass().getSimpleName() in ("UnresolvedWith", "GlobalLimit", "LocalLimit", "Offset"):
+        parsed = _items(parsed.children())[0]
+    return parsed.getClass().getSimpleName() == "Sort"
 
 
 def bounded(df: DataFrame, row_limit: int, byte_limit: int, *, ordered: bool = False) -> tuple[DataFrame, bool]:
@@ -61,15 +100,17 @@ def bounded(df: DataFrame, row_limit: int, byte_limit: int, *, ordered: bool = F
     ranked = df if ordered else df.orderBy(*(F.col(c).asc_nulls_last() for c in names))
     top = ranked.limit(row_limit + 1).withColumn("_id", F.monotonically_increasing_id())
     place = W.partitionBy(F.lit(0)).orderBy("_id")
-    sized = top.withColumns({"_row": F.row_number().over(place), "_bytes": F.sum(F.octet_length(F.to_json(F.struct(*names)))).over(place)}).persist()
+    sized = top.withColumns({"_row": F.row_number().over(place), "_bytes": F.sum(F.octet_length(F.to_json(F.struct(*names)))).over(place)})
+    sized = cut(sized)  # row_limit + 1 rows, computed once
     fits = (F.col("_row") <= row_limit) & (F.col("_bytes") <= byte_limit)
     truncated = not sized.where(~fits).isEmpty()
     return sized.where(fits).orderBy("_row").select(*names), truncated
 
 
 def bounded_sql(spark: SparkSession, query: str, views: Sequence[str], *, row_limit: int = 500, byte_limit: int = 100_000) -> tuple[DataFrame, bool]:
-    df = allowed_query(spark, query, views)
-    return bounded(df, row_limit, byte_limit, ordered=" order by " in " ".join(query.lower().split()))
+    """The first rows of an accepted query, and whether there were more."""
+    parsed = _read(spark, query, views, REFUSED_FUNCTIONS)
+    return bounded(spark.sql(query), row_limit, byte_limit, ordered=_ordered(parsed))
 
 
 def text_match(df: DataFrame, query: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -75,33 +76,49 @@ def stream_cusum(stream: DataFrame, *, drift: float = 0.5, threshold: float = 4.
 LIFECYCLE_OUT = "incident string, at timestamp, generation bigint, status string, failures bigint, trigger string"
 
 
+_LIFECYCLE_STATE = "reports bigint, recoveries bigint, regressions bigint, settled bigint, verified boolean, opened bigint, frozen bigint"
+
+
+def _statuses(rows: pd.DataFrame, before: tuple, reopen_after: int, immediate: bool) -> tuple[pd.DataFrame, tuple]:
+    """Statuses of one incident's reports from running counts, as :func:`recovery.lifecycle` has them, and the counts after."""
+    reports, recoveries, regressions, settled, verified, opened, frozen = before
+    good, gap = rows["decision"].eq("recovered").to_numpy(), rows["decision"].eq("insufficient_data").to_numpy()
+    bad, severe = ~(good | gap), rows["severe"].fillna(False).astype(bool).to_numpy() & immediate
+    number = reports + 1 + np.arange(len(rows))
+    total_good, total_bad = recoveries + np.cumsum(good), regressions + np.cumsum(bad)
+    at_recovery = np.maximum.accumulate(np.where(good, total_bad, settled))
+    proven = total_good > 0
+    failures = np.where(proven, total_bad - at_recovery, 0)
+    # The newest report that is not a gap says whether a gap leaves the incident recovered.
+    newest = np.maximum.accumulate(np.where(gap, -1, np.arange(len(rows))))
+    held = np.where(newest >= 0, good[np.maximum(newest, 0)], verified)
+    opens = bad & (severe | (proven & (failures >= reopen_after)))
+    if opened == 0 and opens.any():
+        opened, frozen = int(number[opens.argmax()]), int(failures[opens.argmax()])
+    open_ = (opened > 0) & (number >= opened)
+    status = np.select([open_, good, gap & held], ["reopened", "recovered", "recovered"], "monitoring")
+    trigger = np.select(
+        [(opened > 0) & (number > opened), good, gap, opens & severe, opens, proven],
+        ["incident_already_reopened", "recovery_verified", "recovery_evidence_gap", "severe_guardrail_regression", "sustained_recovery_regression", "regression_observed"], "recovery_not_yet_verified",
+    )
+    out = pd.DataFrame({"at": rows["at"], "generation": number, "status": status, "failures": np.where(open_, frozen, failures), "trigger": trigger})
+    return out, (int(number[-1]), int(total_good[-1]), int(total_bad[-1]), int(at_recovery[-1]), bool(held[-1]), opened, frozen)
+
+
 def stream_lifecycle(stream: DataFrame, *, reopen_after: int = 2, immediate_on_severe: bool = True) -> DataFrame:
-    """Incident status over report rows ``incident, at, decision, severe``."""
+    """Incident status over report rows ``incident, at, decision, severe``.
+
+    Reports of one trigger are taken by time, equal times by decision and severity, so
+    the result does not depend on the order in which they arrive within it.
+    """
     def advance(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
-        generation, status, failures, ever = state.get if state.exists else (0, "monitoring", 0, False)
-        rows = pd.concat(list(batches)).sort_values("at")
-        out = []
-        for at, decision, severe in zip(rows["at"], rows["decision"], rows["severe"]):
-            generation += 1
-            if status == "reopened":
-                trigger = "incident_already_reopened"
-            elif decision == "recovered":
-                status, failures, ever, trigger = "recovered", 0, True, "recovery_verified"
-            elif decision == "insufficient_data":
-                status, trigger = ("recovered" if status == "recovered" else "monitoring"), "recovery_evidence_gap"
-            else:
-                failures = failures + 1 if ever else 0
-                urgent = bool(severe) and immediate_on_severe
-                if urgent or (ever and failures >= reopen_after):
-                    status, trigger = "reopened", "severe_guardrail_regression" if urgent else "sustained_recovery_regression"
-                else:
-                    status, trigger = "monitoring", "regression_observed" if ever else "recovery_not_yet_verified"
-            out.append((key[0], at, generation, status, failures, trigger))
-        state.update((generation, status, failures, ever))
-        yield pd.DataFrame(out, columns=["incident", "at", "generation", "status", "failures", "trigger"])
+        rows = pd.concat(list(batches)).sort_values(["at", "decision", "severe"], kind="stable", ignore_index=True)
+        out, after = _statuses(rows, state.get if state.exists else (0, 0, 0, 0, False, 0, 0), reopen_after, immediate_on_severe)
+        state.update(after)
+        yield out.assign(incident=key[0])[["incident", "at", "generation", "status", "failures", "trigger"]]
 
     return stream.select("incident", "at", "decision", "severe").groupBy("incident").applyInPandasWithState(
-        advance, LIFECYCLE_OUT, "generation bigint, status string, failures bigint, ever boolean", "append", GroupStateTimeout.NoTimeout)
+        advance, LIFECYCLE_OUT, _LIFECYCLE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> DataFrame:
