@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, mixing, near_dedup, packing, quality
-from tidemark.llm.common import documents, scratch_path, table
+from tidemark.llm.common import documents, stored, table
 
 
 def good_pages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +47,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
-            docs = written(docs)
+            docs = stored(docs, "pipeline")
     return docs
-
-
-def written(docs: DataFrame) -> DataFrame:
-    """The rows as Parquet in the shared folder, read again."""
-    path = scratch_path(docs.sparkSession, "pipeline")
-    docs.write.parquet(path)
-    return docs.sparkSession.read.parquet(path)

@@ -143,12 +143,13 @@ def test_quality_on_labels(spark):
 def test_pipeline_stages_follow_each_other(spark):
     import corpus_pipeline
     from tidemark.llm import near_dedup, packing
+    from tidemark.llm.common import stored
 
     sf = "/root/testdata/sf0.001"
     docs = before = spark.read.parquet(f"{sf}/documents.parquet")
     sizes = {}
     for name, stage in corpus_pipeline.STAGES[:4]:
-        docs = corpus_pipeline.written(stage(spark, docs, sf))
+        docs = stored(stage(spark, docs, sf), "stage")
         assert docs.schema == before.schema
         sizes[name] = docs.collect()
     lower = lambda r: r["text"].encode().lower()

@@ -15,7 +15,7 @@ from tidemark.functions.lineage import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "cut", "documents", "field", "row_key", "scratch_path", "ship", "table", "worker_state"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "cut", "documents", "field", "row_key", "scratch_path", "ship", "stored", "table", "worker_state"]
 
 
 def ship(name: str) -> None:
@@ -63,4 +63,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again: smaller than a checkpoint for many rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 ship(__name__)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, field, row_key, ship
+from tidemark.llm.common import field, row_key, ship, stored
 
 ship(__name__)
 
@@ -89,10 +89,11 @@ def repeats(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS) -> Da
     source = docs.select(field(docs, "doc_id", "long").alias("doc_id"), field(docs, "text", "string").alias("text"))
     source = source.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
     found = source.mapInPandas(_spans(run, long_words), "hash long, rank long, row long, first int, size int")
-    found = cut(found.select("hash", F.struct("rank", "row", "first").alias("at"), "size"))
-    firsts = found.groupBy("hash").agg(F.min("at").alias("kept"), F.count("*").alias("times")).where("times > 1").select("hash", "kept")
-    later = found.join(firsts, "hash").where("at <> kept").select("at.row", "at.first", "size").distinct()
-    return later.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "size"))).alias("places"))
+    found = stored(found, "spans")
+    place = F.struct("rank", "row", "first")
+    firsts = found.groupBy("hash").agg(F.min(place).alias("kept"), F.count("*").alias("times")).where("times > 1").select("hash", "kept")
+    later = found.join(firsts, "hash").where(place != F.col("kept")).select("row", "first", "size")
+    return later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "size"))).alias("places"))
 
 
 def clean(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
