@@ -94,7 +94,7 @@ def test_future_rows_never_change_past_scores(spark):
 
 def test_unknown_cohort_is_refused(spark):
     config = DetectionConfig((Selector("checkout_sessions", ("day",), ("nowhere",)),))
-    with pytest.raises(detection.DetectionError, match="unavailable cohorts"):
+    with pytest.raises(detection.DetectionError, match="no rows of these cohorts"):
         detection.select_series(series_rows(spark, [1, 2]), config)
 
 

@@ -278,7 +278,7 @@ def k9(spark, sf):
 
 @C.add("k10_impact_bundle")
 def k10(spark, sf):
-    parts = [df.limit(500).select(F.lit(n).alias("table_name"), F.to_json(F.struct(*df.columns)).alias("row")) for n, df in (
+    parts = [df.select(F.lit(n).alias("table_name"), F.to_json(F.struct(*df.columns)).alias("row")) for n, df in (
         ("financial_impact", customers.financial(spark, sf)), ("causal_estimates", customers.estimates(spark, sf)), ("model_metrics", customers.model_metrics(spark, sf)))]
     return io.union_all(parts)
 

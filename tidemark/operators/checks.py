@@ -90,8 +90,8 @@ def fact_checks(tables: Mapping[str, DataFrame], facts: Mapping[str, DataFrame],
         dims = sorted(set(DIMENSIONS) & needed & set(df.columns))
         nulls = reduce(lambda a, b: a + b, (count_if(F.col(d).isNull()) for d in dims), F.lit(0))
         parts.append(run_checks(df, [
-            Check(f"fact.{name}.metric_columns", "fact_model", F.lit(len(missing)) + F.lit(0) * F.count(F.lit(1)), "all configured metric columns are present", ", ".join(missing)),
-            Check(f"fact.{name}.dimension_coverage", "fact_model", nulls, "0 missing analytical dimension values", ", ".join(dims)),
+            Check(f"fact.{name}.metric_columns", "fact_model", F.lit(len(missing)) + F.lit(0) * F.count(F.lit(1)), "no metric column is absent", ", ".join(missing)),
+            Check(f"fact.{name}.dimension_coverage", "fact_model", nulls, "every dimension filled in", ", ".join(dims)),
         ]))
     return reduce(DataFrame.unionByName, parts)
 
@@ -116,7 +116,7 @@ def coverage_check(observations: DataFrame, metrics: Sequence[MetricDef], facts:
     status = F.when(F.col("with_data") > 0, "fail").when(F.col("missing") > 0, "warn").otherwise("pass")
     severity = F.when(status == "warn", "warning").otherwise("error")
     return row.select(_result("metrics.coverage", "metrics", severity, status, F.col("missing"),
-                              f"observations for all {len(metrics)} enabled metrics when source facts exist", F.col("names")).alias("r")).select("r.*")
+                              f"rows for each of {len(metrics)} metrics whose fact has rows", F.col("names")).alias("r")).select("r.*")
 
 
 METRIC_KEY = ("metric_name", "time_grain", "period_start", "cohort_name", *DIMENSIONS)
@@ -142,8 +142,8 @@ def per_metric_violations(observations: DataFrame, metrics: Sequence[MetricDef])
 def metric_checks(observations: DataFrame, metrics: Sequence[MetricDef], facts: Mapping[str, DataFrame]) -> DataFrame:
     value = F.col("value")
     whole = run_checks(observations, [
-        Check("metrics.finite_values", "metrics", count_if(F.isnan(value) | (F.abs(value) == float("inf"))), "0 NaN or infinite metric values"),
-        Check("metrics.invalid_status", "metrics", count_if(F.col("quality_status") == "invalid"), "0 observations marked invalid"),
+        Check("metrics.finite_values", "metrics", count_if(F.isnan(value) | (F.abs(value) == float("inf"))), "only finite metric values"),
+        Check("metrics.invalid_status", "metrics", count_if(F.col("quality_status") == "invalid"), "no row with status invalid"),
     ])
     each = per_metric_violations(observations, metrics)
     status = lambda c: F.when(F.col(c) == 0, "pass").otherwise("fail")
@@ -154,7 +154,7 @@ def metric_checks(observations: DataFrame, metrics: Sequence[MetricDef], facts:
     )
     return reduce(DataFrame.unionByName, [
         coverage_check(observations, metrics, facts),
-        unique_check(observations, METRIC_KEY, "metrics.primary_key", "metrics", "canonical metric observation key"),
+        unique_check(observations, METRIC_KEY, "metrics.primary_key", "metrics", "the metric row key"),
         whole, each.select(F.inline(rows)),
     ])
 
@@ -248,8 +248,8 @@ def source_rollup(issues: DataFrame) -> DataFrame:
     row = issues.agg(count_if(F.col("severity") == "error").alias("errors"), count_if(F.col("severity") == "warning").alias("warnings"))
     return row.select(_result(
         "source.dataset_validation", "source", "error", F.when(F.col("errors") == 0, "pass").otherwise("fail"), F.col("errors"),
-        "0 source dataset validation errors",
-        F.concat(F.lit("source validation reported "), F.col("errors").cast("string"), F.lit(" errors and "), F.col("warnings").cast("string"), F.lit(" warnings")),
+        "source checks without errors",
+        F.concat(F.lit("source checks found "), F.col("errors").cast("string"), F.lit(" errors and "), F.col("warnings").cast("string"), F.lit(" warnings")),
     ).alias("r")).select("r.*")
 
 

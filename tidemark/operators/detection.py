@@ -50,13 +50,13 @@ def select_series(observations: DataFrame, config: DetectionConfig, registry=REG
         for s in config.selectors:
             unknown = sorted(set(s.cohorts) - cohorts)
             if unknown:
-                raise DetectionError(f"selector {s.metric} references unavailable cohorts: {unknown}")
+                raise DetectionError(f"no rows of these cohorts for {s.metric}: {unknown}")
             matched = [dims for key, dims in present.items() if key[0] == s.metric and key[1] in s.time_grains and key[2] in s.cohorts]
             if not matched:
-                raise DetectionError(f"selector matched no rows: {s.metric}/{s.time_grains}/{s.cohorts}")
+                raise DetectionError(f"no rows for {s.metric} at {s.time_grains} in {s.cohorts}")
             unsupported = sorted(set().union(*matched) - set(registry[s.metric].dimensions))
             if unsupported:
-                raise DetectionError(f"metric {s.metric} does not support dimensions: {unsupported}")
+                raise DetectionError(f"{s.metric} has no dimensions {unsupported}")
     series = stable_id("SER", "metric_name", "time_grain", "cohort_name", *DIMENSIONS)
     return observations.join(table, keys, "left_semi").withColumn("series_id", series)
 
@@ -89,11 +89,11 @@ def inject_scenarios(series: DataFrame, scenarios: Sequence[Scenario], registry=
     ).first()
     for i, s in enumerate(scenarios):
         if flags[f"n{i}"] != s.duration_periods or flags[f"s{i}"] != 1:
-            raise DetectionError(f"benchmark scenario {s.scenario_id} expected {s.duration_periods} periods of one series but matched {flags[f'n{i}']}")
+            raise DetectionError(f"scenario {s.scenario_id} needs {s.duration_periods} periods of a single series, found {flags[f'n{i}']}")
         if flags[f"u{i}"]:
-            raise DetectionError(f"benchmark scenario {s.scenario_id} targets an undefined observation")
+            raise DetectionError(f"scenario {s.scenario_id} falls on a row without a value")
     if flags["most"] > 1:
-        raise DetectionError("benchmark scenarios overlap")
+        raise DetectionError("two scenarios touch the same row")
 
     def pick(values: Sequence, kind: str) -> Column:
         expr = F.lit(None).cast(kind)
@@ -568,17 +568,17 @@ def detection_quality(observations, events, truth, results, summary, source_erro
     result_bad = (F.col("true_positive_points") < 0) | (F.col("false_negative_points") < 0) | (F.col("detected") != F.col("first_detected_at").isNotNull())
     rates = ("precision", "scenario_recall", "point_recall", "false_positive_rate")
     parts = [
-        run_checks(source_errors, [Check("source.analytics_quality", "source", F.max("errors"), "0 source analytical quality errors")]),
-        unique_check(observations, ["observation_id"], "observations.primary_key", "observations", "observation ids are unique"),
+        run_checks(source_errors, [Check("source.analytics_quality", "source", F.max("errors"), "analytics checks without errors")]),
+        unique_check(observations, ["observation_id"], "observations.primary_key", "observations", "one row per observation id"),
         run_checks(observations, [
-            Check("observations.probability_bounds", "statistics", count_if(outside("p_value") | outside("q_value")), "all p-values and q-values in [0, 1]"),
-            Check("baseline.no_lookahead", "statistics", count_if(F.col("baseline_last_period") >= F.col("period_start")), "0 baselines using current or future periods"),
-            Check("alerts.policy_invariants", "alerts", count_if(alert_bad), "alerts are eligible, FDR-scored, supported and severe"),
-            Check("observations.finite_values", "statistics", count_if(bad_number("observed_value") | bad_number("expected_value")), "0 NaN or infinite values"),
+            Check("observations.probability_bounds", "statistics", count_if(outside("p_value") | outside("q_value")), "probabilities from 0 to 1"),
+            Check("baseline.no_lookahead", "statistics", count_if(F.col("baseline_last_period") >= F.col("period_start")), "baselines end before their period"),
+            Check("alerts.policy_invariants", "alerts", count_if(alert_bad), "each alert has all four conditions"),
+            Check("observations.finite_values", "statistics", count_if(bad_number("observed_value") | bad_number("expected_value")), "only finite values"),
         ]),
-        run_checks(events, [Check("events.temporal_integrity", "events", count_if(event_bad), "0 temporally invalid events")]),
-        run_checks(truth, [Check("benchmark.ground_truth", "benchmark", count_if((F.col("started_at") >= F.col("ended_at")) | (F.col("injected_points") <= 0)), "valid non-empty windows")]),
-        run_checks(results, [Check("benchmark.results", "benchmark", count_if(result_bad), "arithmetically valid results")]),
-        run_checks(summary, [Check("benchmark.summary", "benchmark", reduce(lambda a, b: a + b, (count_if(outside(c)) for c in rates)), "rates in [0, 1]")]),
+        run_checks(events, [Check("events.temporal_integrity", "events", count_if(event_bad), "events in time order")]),
+        run_checks(truth, [Check("benchmark.ground_truth", "benchmark", count_if((F.col("started_at") >= F.col("ended_at")) | (F.col("injected_points") <= 0)), "windows with points")]),
+        run_checks(results, [Check("benchmark.results", "benchmark", count_if(result_bad), "consistent counts")]),
+        run_checks(summary, [Check("benchmark.summary", "benchmark", reduce(lambda a, b: a + b, (count_if(outside(c)) for c in rates)), "rates from 0 to 1")]),
     ]
     return conform(reduce(DataFrame.unionByName, parts), DETECTION_SPECS["detection_quality_results"])

@@ -57,7 +57,7 @@ def score_cases(cases: DataFrame, answers: DataFrame, predictions: DataFrame, *,
 def calibration(results: DataFrame, bins: int = 10, *, include_abstentions: bool = False) -> DataFrame:
     """Equal-width reliability bins, empty ones kept, with each bin's share of ECE."""
     if not 1 <= bins <= 100:
-        raise ValueError("calibration bins must be between 1 and 100")
+        raise ValueError("the number of calibration bins goes from 1 to 100")
     rows = results if include_abstentions else results.where("NOT abstained")
     index = F.least(F.lit(bins - 1), F.floor(F.col("confidence") * bins).cast("int"))
     filled = rows.groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("count"), F.avg("confidence").alias("mean_confidence"), F.avg(F.col("top1_correct").cast("double")).alias("accuracy"))
@@ -119,7 +119,7 @@ def ablate_predictions(predictions: DataFrame, max_hypotheses: int, *, abstentio
     rows = predictions.withColumn("ranked_hypotheses", kept)
     chosen = F.map_filter("probabilities", lambda k, v: F.array_contains("ranked_hypotheses", k))
     rows = rows.withColumn("probabilities", chosen).withColumn("_mass", F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x))
-    empty = F.raise_error(F.lit("ablation removed all positive probability mass")).cast("double")
+    empty = F.raise_error(F.lit("no hypothesis with a probability above 0 is left")).cast("double")
     rows = rows.withColumn("probabilities", F.transform_values("probabilities", lambda k, v: v / F.when(F.col("_mass") > 0, F.col("_mass")).otherwise(empty)))
     return rows.drop("_mass").withColumn("abstained", F.col("abstained") if abstention_enabled else F.lit(False))
 
@@ -153,7 +153,7 @@ def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
 def paired_bootstrap(left: DataFrame, right: DataFrame, *, iterations: int = 2000, confidence: float = 0.95, seed: int = 7) -> DataFrame:
     """Percentile intervals of the paired mean differences."""
     if iterations < 100:
-        raise ValueError("paired bootstrap requires at least 100 iterations")
+        raise ValueError("at least 100 bootstrap iterations are needed")
     d = paired_deltas(left, right)
     mean = lambda c: (lambda w: F.try_divide(F.sum(F.col(c) * w), F.sum(w)))
     reps = replicates(d, "case_id", iterations, seed, {"top1_correct": mean("top1_correct"), "brier_score": mean("brier_score")}).persist()

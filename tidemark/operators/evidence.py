@@ -224,13 +224,13 @@ def evidence_quality(tables: Tables, services: Sequence[str]) -> DataFrame:
     others = {n: df for n, df in tables.items() if n != "evidence_records"}
     covered = health.sparkSession.createDataFrame([(s,) for s in services], "service string").join(health.select("service").distinct(), "service", "left_anti")
     parts = [
-        unique_check(records, ["evidence_record_id"], "evidence.unique_ids", "integrity", "record ids are unique"),
-        run_checks(record_issues(records).where("code = 'evidence.content'"), [Check("evidence.content_hashes", "integrity", rows, "0 invalid hashes")]),
-        run_checks(dangling_references(others, records), [Check("evidence.references", "integrity", rows, "0 missing evidence references")]),
-        run_checks(health, [Check("health.arithmetic", "health", count_if(broken), "0 invalid health rows")]),
-        run_checks(graph.unknown_endpoints(nodes, edges), [Check("lineage.references", "lineage", rows, "0 missing node references")]),
-        run_checks(graph.cyclic_nodes(nodes, edges), [Check("lineage.acyclic", "lineage", rows, "acyclic directed graph")]),
-        run_checks(timeline_breaks(tables["incident_timeline"]), [Check("timeline.ordering", "timeline", rows, "contiguous chronological sequence")]),
-        run_checks(covered, [Check("health.service_coverage", "health", rows, "all configured services represented")]),
+        unique_check(records, ["evidence_record_id"], "evidence.unique_ids", "integrity", "one row per record id"),
+        run_checks(record_issues(records).where("code = 'evidence.content'"), [Check("evidence.content_hashes", "integrity", rows, "each hash matches its content")]),
+        run_checks(dangling_references(others, records), [Check("evidence.references", "integrity", rows, "each reference has its record")]),
+        run_checks(health, [Check("health.arithmetic", "health", count_if(broken), "consistent health rows")]),
+        run_checks(graph.unknown_endpoints(nodes, edges), [Check("lineage.references", "lineage", rows, "each edge joins known nodes")]),
+        run_checks(graph.cyclic_nodes(nodes, edges), [Check("lineage.acyclic", "lineage", rows, "no cycle among the nodes")]),
+        run_checks(timeline_breaks(tables["incident_timeline"]), [Check("timeline.ordering", "timeline", rows, "numbered by time without gaps")]),
+        run_checks(covered, [Check("health.service_coverage", "health", rows, "a health row for every service")]),
     ]
     return conform(reduce(DataFrame.unionByName, parts), EVIDENCE_SPECS["evidence_quality_results"])

@@ -129,12 +129,12 @@ def require_coverage(tables: Tables, features: DataFrame, config: ImpactConfig)
     """The source must span the pre-period and horizon, and both arms must be filled."""
     span = tables["checkout_sessions"].agg(F.min("started_at").alias("lo"), F.max("started_at").alias("hi")).first()
     if span["lo"] is None or span["lo"].date() > (config.incident.started_at - timedelta(days=config.pre_period_days)).date():
-        raise CoverageError("source dataset does not cover the configured pre-incident period")
+        raise CoverageError("sessions begin after the period before the incident")
     if span["hi"].date() < (config.incident.ended_at + timedelta(days=config.churn_horizon_days - 1)).date():
-        raise CoverageError("source dataset does not cover the configured churn horizon")
+        raise CoverageError("sessions end before the churn horizon")
     arms = features.agg(count_if(F.col("exposed")).alias("t"), count_if(~F.col("exposed")).alias("c")).first()
     if not arms["t"] or not arms["c"]:
-        raise CoverageError("impact analysis requires both exposed and control customers")
+        raise CoverageError("one arm, exposed or control, is empty")
 
 
 def _weighted(value: Column, weight: Column, arm: Column) -> Column:
@@ -207,16 +207,16 @@ def impact_quality(features, causal, financial, metrics, config: ImpactConfig) -
     inside = yes(F.col("estimate").between(F.col("lower_ci"), F.col("upper_ci")))
     covered = F.lit(not config.effect_enabled) | yes(F.col("att").between(F.col("lower_ci"), F.col("upper_ci")))
     listed = [
-        ("cohort.exposed_count", yes(F.col("exposed") >= 20), F.col("exposed"), "warn", "at least 20 exposed customers preferred"),
-        ("cohort.control_count", yes(F.col("control") >= 20), F.col("control"), "fail", "at least 20 control customers"),
-        ("features.valid_values", yes(F.col("invalid") == 0), F.col("invalid"), "fail", "0 invalid feature rows"),
-        ("causal.interval", inside, inside.cast("double"), "fail", "estimate inside bootstrap interval"),
-        ("causal.balance", yes(F.col("balance") <= 0.25), F.col("balance"), "warn", "maximum weighted absolute SMD <= 0.25"),
-        ("model.cox_convergence", yes(F.col("cox") == 1.0), F.col("cox"), "fail", "Cox optimizer converged"),
-        ("model.propensity_convergence", yes(F.col("logit") == 1.0), F.col("logit"), "fail", "propensity optimizer converged"),
-        ("benchmark.interval_coverage", covered, covered.cast("double"), "fail", "known ATT inside the main confidence interval"),
-        ("causal.placebo", yes(F.col("placebo") < F.abs("estimate")), F.col("placebo"), "warn", "placebo magnitude below main effect"),
-        ("financial.reconciliation", yes(F.col("gap") <= 1e-6), F.col("gap"), "fail", "difference <= 1e-6"),
+        ("cohort.exposed_count", yes(F.col("exposed") >= 20), F.col("exposed"), "warn", "20 or more in the exposed arm"),
+        ("cohort.control_count", yes(F.col("control") >= 20), F.col("control"), "fail", "20 or more in the control arm"),
+        ("features.valid_values", yes(F.col("invalid") == 0), F.col("invalid"), "fail", "only valid feature rows"),
+        ("causal.interval", inside, inside.cast("double"), "fail", "the interval holds its estimate"),
+        ("causal.balance", yes(F.col("balance") <= 0.25), F.col("balance"), "warn", "largest weighted |SMD| up to 0.25"),
+        ("model.cox_convergence", yes(F.col("cox") == 1.0), F.col("cox"), "fail", "Cox fit at its optimum"),
+        ("model.propensity_convergence", yes(F.col("logit") == 1.0), F.col("logit"), "fail", "propensity fit at its optimum"),
+        ("benchmark.interval_coverage", covered, covered.cast("double"), "fail", "the main interval holds the true effect"),
+        ("causal.placebo", yes(F.col("placebo") < F.abs("estimate")), F.col("placebo"), "warn", "placebo effect smaller than the main one"),
+        ("financial.reconciliation", yes(F.col("gap") <= 1e-6), F.col("gap"), "fail", "parts add up to 1e-6"),
     ]
     checks = F.array(*(
         F.struct(F.lit(name).alias("check_name"), F.when(~ok & F.lit(bad == "warn"), "warning").otherwise("error").alias("severity"),

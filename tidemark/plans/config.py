@@ -77,9 +77,9 @@ class AnalyticsConfig:
 
     def __post_init__(self) -> None:
         names = [cohort.name for cohort in self.cohorts]
-        _need(len(set(names)) == len(names), "cohort names must be unique")
+        _need(len(set(names)) == len(names), "two cohorts share a name")
         shapes = [frozenset(cohort.dimensions) for cohort in self.cohorts]
-        _need(len(set(shapes)) == len(shapes), "cohort dimension sets must be unique")
+        _need(len(set(shapes)) == len(shapes), "two cohorts share their dimensions")
         _need("overall" in names, "an overall cohort is required")
         _need(set(self.time_grains) <= {"hour", "day"}, "time grains are hour and day")
         _need(set(self.funnel_cohorts) <= set(names), "funnel cohort is not configured")
@@ -187,7 +187,7 @@ class DetectionConfig:
     def __post_init__(self) -> None:
         _need(bool(self.selectors), "at least one selector is required")
         names = [item.metric for item in self.metric_overrides]
-        _need(len(set(names)) == len(names), "metric overrides must be unique")
+        _need(len(set(names)) == len(names), "a metric is overridden twice")
         ids = [item.scenario_id for item in self.benchmark_scenarios]
         _need(len(set(ids)) == len(ids), "scenario ids must be unique")
 
