@@ -51,7 +51,7 @@ def test_exponent_meets_entropy_or_repetition():
 
 def test_mix_reaches_weights_and_keeps_every_document(spark):
     rng = random.Random(1)
-    rows = [(i, "w " * rng.randrange(1, 60), "big" if i % 3 else f"small{i % 5}") for i in range(1500)] + [(None, None, None), (5000, "", "big"), (5, "w w", "big"), (5, "w w", "big")]
+    rows = [(i, "w " * rng.randrange(1, 60), "big" if i % 3 else f"small{i % 5}") for i in range(1500)] + [(None, None, None), (5000, "", "big"), (7000, "w w", "big"), (7000, "w w", "big")]
     docs = frame(spark, rows)
     drawn = mixing.draw(docs, block_tokens=2000).collect()
     taken, weight, whole = defaultdict(int), {}, Counter()
@@ -100,7 +100,7 @@ def test_rules_match_brute_force(spark):
 
 def test_rules_keep_prose_and_drop_junk(spark):
     prose = "The harbour of the town was closed by the storm and it is not known for how long. " * 4
-    prose = " ".join(f"{w}{i}" if i % 4 == 0 else w for i, w in enumerate(prose.split()))
+    prose = " ".join(f"{w}{i}" if i % 3 == 0 else w for i, w in enumerate(prose.split()))
     junk = {1: prose, 2: prose.upper(), 3: " ".join(w + "#%" for w in prose.split()), 4: "zzkq " * 10 + " ".join(f"qx{i}" for i in range(60)), 5: "\n".join(["the a is of it in to on we"] * 9)}
     got = {r["doc_id"]: (r["kept"], r["base_failed"], set(r["broken"])) for r in rules.judge(frame(spark, [(i, t, "s") for i, t in junk.items()])).collect()}
     assert got[1] == (True, False, set())

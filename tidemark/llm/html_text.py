@@ -39,6 +39,7 @@ HINTS = frozenset(
     "cookie cookies consent gdpr notice notification alert popup modal overlay subscribe subscription newsletter signup signin login register share sharing social comment comments "
     "respond reply replies disqus discussion related recommended recommendations widget toolbar pagination pager copyright legal search contentinfo complementary form dialog skip".split()
 )
+OF_TEXT = frozenset("article entry post story content title section chapter".split())  # whose headers are main text
 NEUTRAL = frozenset("with has no without layout".split())
 FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after", "heading", "scope", "aside")
 BLOCKS = "array<struct<text: string, main: int, " + ", ".join(f"{f}: double" for f in FEATURES) + ">>"
@@ -129,7 +130,8 @@ class _Page:
         for found in _PLACE.findall(attributes):
             for one in found.strip("\"'").lower().split():
                 words = set(_WORD.findall(one))
-                if words & HINTS and not words & NEUTRAL:
+                banner = "header" in words and not words & OF_TEXT and not self.marks["main"]
+                if (words & HINTS or banner) and not words & NEUTRAL:
                     return "aside"
         return ""
 

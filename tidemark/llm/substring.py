@@ -23,7 +23,7 @@ ship(__name__)
 
 RUN, LONG_WORDS = 3, 40
 #: A sentence ends at a full stop, question or exclamation mark before white space, or with its line.
-END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*(?=\s)|\n")
+END = re.compile(r"(?<![.!?…。！？])[.!?…。！？]++[\"'”’)\]]*+(?=\s)|\n")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
