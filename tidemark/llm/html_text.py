@@ -149,7 +149,7 @@ class _Page:
             return
         mark = self._mark(name, attributes)
         if name == "p":  # ends at the next block, so it needs no place in the stack
-            self.aside_block = mark == "aside"
+            self.aside_block = mark in ("aside", "hidden")
         else:
             if name in ITEMS and self.open[name]:
                 for place in range(len(self.stack) - 1, -1, -1):
