@@ -19,4 +19,9 @@ EXAMPLES = (
     f"""<html><body><article><header><h1 data-main>Boats</h1></header><p data-main>{_LONG}</p><div class="advert"><p>{_AD}</p><p>Buy now</p></div><p data-main>{_MORE}</p><aside><p>{_AD}</p></aside><div class="share"><a href=/f>Share</a></div><p data-main>End.</p><div class="related"><p><a href=/q>{_MORE}</a></p></div></article>
     <div><p>Sign in to read without adverts on every device you own.</p><p><a href=/l>Log in</a></p></div><div><h2>More from us</h2><p>{_LONG}</p></div></body></html>""",
     f"""<html><body><table><tr><td><a href=/1>One</a></td><td><a href=/2>Two</a></td></tr></table><div><p data-main>{_LONG} {_MORE}</p><blockquote data-main>{_MORE}</blockquote><p data-main>Nobody was hurt in the accident, the police said on the same evening.</p></div><p><a href=/n>Next page</a></p></body></html>""",
+    f"<article><p data-main>{_LONG}</p></article>",
+    f"<html><body><nav><a href=/>Home</a></nav><main><p data-main>{_MORE} {_LONG}</p></main></body></html>",
+    "<article><h1 data-main>Closed</h1></article><footer><p>Imprint</p></footer>",
+    "<article><h1 data-main>Quay</h1><p data-main>No ferry.</p></article>",
+    f"<html><body><p data-main>{_MORE}</p></body></html>",
 )
