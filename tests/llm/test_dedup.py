@@ -150,7 +150,7 @@ def test_substring_matches_brute_force(spark):
     assert {i: [" ".join(r["text"][a:b].split()) for a, b in substring.sentences(r["text"])] for i, r in got.items()} == want
     for p in passages:  # over 50 words: one copy in all is left
         assert sum(" ".join(p.split()) in " ".join(r["text"].split()) for r in got.values()) == 1
-    assert got[104]["n_removed"] == 6 and got[100]["text"] == ""
+    assert got[104]["n_removed"] == 8 and got[100]["text"] == ""
 
 
 def test_substring_edge_cases(spark):

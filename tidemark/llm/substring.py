@@ -73,8 +73,15 @@ def remove(text: str, places: list[tuple[int, int]]) -> tuple[str, int, int]:
         gone[first : first + size] = True
     if not gone.any():
         return text, len(found), 0
-    kept = "".join(text[a:b] for (a, b), g in zip(found, gone, strict=True) if not g)
-    return kept.strip(), len(found), int(gone.sum())
+    kept, before = [], 0
+    for (a, b), g in zip(found, gone, strict=True):
+        if not g:
+            part = text[before:b]  # with the white space in front
+            if kept and not kept[-1][-1].isspace() and not part[0].isspace():
+                kept.append("\n")  # a removed line took its end along
+            kept.append(part)
+        before = b
+    return "".join(kept).strip(), len(found), int(gone.sum())
 
 
 def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
