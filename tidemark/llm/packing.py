@@ -12,6 +12,7 @@ is used as often as the histogram allows.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -26,11 +27,14 @@ from tidemark.llm.common import cut, field, ship, worker_state
 
 ship(__name__)
 
-CAPACITY, PIECES_PER_PARTITION, NODES, CACHED_WORDS = 2048, 10_000, 400, 300_000
+CAPACITY, PIECES_PER_PARTITION, NODES, CACHED_WORDS, TOGETHER = 2048, 10_000, 400, 400_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 #: Texts with special-token strings, or with separators that only Python counts as white space, are encoded whole.
-WHOLE = re.compile(r"<\||[\x1c-\x1f]")
+#: So are texts with a capital sigma, whose lower case depends on its place.
+WHOLE = re.compile(r"<\||[\x1c-\x1f\u03a3]")
+#: Punctuation at the end of a word is a pre-token of its own.
+ENDINGS = ".,;:!?%&*$#|"
 
 
 def default_tokenizer() -> str:
@@ -43,8 +47,10 @@ def default_tokenizer() -> str:
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and never joins tokens across it, so ids of a text
-    are those of its words in order; ids of words seen before come from a bounded table.
+    The vocabulary drops white space and never joins tokens across it, or between letters
+    and punctuation, so ids of a text are those of its words in order.  Words seen before
+    come from bounded tables.  New words of letters are encoded in one call and told apart by
+    the mark that ends a word's last token.
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
@@ -53,22 +59,68 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_file(path), {}, limit
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if WHOLE.search(text):
-            return self._batch([text])[0]
-        words = text.split()
-        known = self.known
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            known.update(zip(missing, self._batch(missing), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        """Words of lower-case letters: each is one pre-token."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(stems):
+            raw, starts = ids.tobytes(), [0, *(4 * ends[:-1]).tolist()]
+            self.stems.update((w, raw[i:j]) for w, i, j in zip(stems, starts, (4 * ends).tolist(), strict=True))
+        else:  # a letter that normalises to more than letters
+            self.stems.update((w, self._whole(w)) for w in stems)
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.words) + len(words) > self.limit:
+            self.words.clear()
+        if len(self.stems) + len(words) > self.limit:
+            self.stems = {"": b""}
+        split, new = [], {}
+        for word in words:
+            stem = word.rstrip(ENDINGS)
+            if stem and not stem.isalpha():
+                self.words[word] = self._whole(word)
+                continue
+            end = word[len(stem) :]
+            split.append((word, stem, end))
+            if stem not in self.stems:
+                new[stem] = None
+            if end not in self.stems:
+                self.stems[end] = self._whole(end)
+        if new:
+            self._learn_stems(list(new))
+        stems = self.stems
+        self.words.update((word, stems[stem] + stems[end]) for word, stem, end in split)
+
+    @staticmethod
+    def _split(text: str) -> list[str] | None:
+        """Lower-case words, or none where lower-casing or composing the whole differs from doing so by word."""
+        low = text.lower()
+        if WHOLE.search(text) or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+            return None
+        return low.split()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of a few texts."""
+        plain = [self._split(t) for t in texts]
+        found = set().union(*filter(None, plain))
+        missing = found.difference(self.words)
+        if missing and len(self.words) + len(missing) > self.limit:
+            self.words.clear()
+            missing = found
+        if missing:
+            self.learn(list(missing))
+        known = self.words
+        return [self._whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, plain, strict=True)]
 
 
 def _cut(path: str, end_id: int, capacity: int):
@@ -77,8 +129,10 @@ def _cut(path: str, end_id: int, capacity: int):
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encoder.encode(text or "") + end
+            texts = [t or "" for t in batch["text"]]
+            encoded = (ids for at in range(0, len(texts), TOGETHER) for ids in encoder.encode(texts[at : at + TOGETHER]))
+            for doc_id, ids in zip(batch["doc_id"], encoded, strict=True):
+                ids = ids + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
