@@ -52,7 +52,7 @@ class Settings:
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
@@ -111,7 +111,8 @@ def _sets(settings: Settings):
         a, b = _functions(settings)
         for batch in batches:
             items = [shingles(t, settings.words) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "items": [x.view(np.int64) for x in items], "signature": [_minima(x, a, b) for x in items]})
+            signatures = [_minima(x, a, b) for x in items]
+            yield pd.DataFrame({"node": batch["node"], "items": [x.view(np.int64) for x in items], "signature": signatures, "marks": [s.astype(np.uint8).tobytes() for s in signatures]})
 
     return run
 
@@ -122,28 +123,32 @@ def close(a_items: Column, b_items: Column, percent: int) -> Column:
     return 100 * shared >= percent * (F.size(a_items) + F.size(b_items) - shared)
 
 
-def _cross_links(percent: int):
+def _cross_links(percent: int, agree: int):
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        """Links between members of different components; at most one fewer than there are components."""
+        """Links between members of different components; fewer than there are components.
+
+        Signatures rule out most pairs: equal minima have equal marks, so a pair with fewer
+        than ``agree`` equal marks fails.  The sets of the others are compared.
+        """
         block = block.sort_values("node", ignore_index=True)
-        parts = block["part"].tolist()
-        items = [np.asarray(x, dtype=np.int64) for x in block["items"]]
-        sizes = np.array([len(x) for x in items])
-        place = np.unique(np.concatenate(items), return_inverse=True)[1]
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        number = {p: i for i, p in enumerate(dict.fromkeys(parts))}
-        part = np.array([number[p] for p in parts])
+        sizes = block["items"].map(len).to_numpy()
+        place = np.unique(np.concatenate(block["items"].to_list()), return_inverse=True)[1].astype(np.int32)
+        places = np.split(place, np.cumsum(sizes)[:-1])
+        marks = np.frombuffer(b"".join(block["marks"]), dtype=np.uint8).reshape(len(block), -1)
+        number = {p: i for i, p in enumerate(dict.fromkeys(block["part"]))}
+        part = block["part"].map(number).to_numpy()
         largest = np.bincount(part).argmax()  # pairs inside a component, and so inside the largest, need no look
-        mark, links = np.zeros(place.max() + 1, dtype=np.int32), []
+        seen, links = np.zeros(place.max() + 1, dtype=np.int32), []
         for x in np.flatnonzero(part != largest):
-            if (part == part[0]).all():
-                break
-            own = place[starts[x] : starts[x] + sizes[x]]
-            mark[own] = 1
-            shared = np.add.reduceat(mark[place], starts)
-            mark[own] = 0
-            near = np.flatnonzero((100 * shared >= percent * (sizes + sizes[x] - shared)) & (part != part[x]))
-            for y in near:
+            fits = (part != part[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
+            others = np.flatnonzero(fits)
+            others = others[(marks[others] == marks[x]).sum(axis=1) >= agree]
+            if not len(others):
+                continue
+            seen[places[x]] = 1
+            shared = np.add.reduceat(seen[np.concatenate([places[y] for y in others])], np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
+            seen[places[x]] = 0
+            for y in others[100 * shared >= percent * (sizes[others] + sizes[x] - shared)]:
                 if part[y] != part[x]:
                     links.append((block["node"][x], block["node"][y]))
                     part[part == part[y]] = part[x]
@@ -153,15 +158,19 @@ def _cross_links(percent: int):
 
 
 def _residual(members: DataFrame, parts: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links across components among members of one bucket, from blocks of bounded size."""
-    labelled = members.join(parts, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("part"))
+    """Links across components among members of one bucket, from blocks of bounded size.
+
+    Every member has been compared with its bucket's centre, so only the others are left,
+    and only where they lie in several components.
+    """
+    labelled = members.where("node <> centre").join(parts, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("part"))
     mixed = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("n").alias("items")).where("low <> high")
     blocks = mixed.select("bucket", F.ceil(F.col("items") / settings.block_items).cast("int").alias("blocks"))
     # Every pair of blocks meets once; a bucket of one block, the usual case, is one group.
     mine = labelled.join(blocks, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = mine.select("bucket", "node", "part", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("bucket", "node", "part", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"))
-    return spread.join(sets, "node").groupBy("bucket", "first", "second").applyInPandas(_cross_links(settings.percent), "node binary, other binary")
+    return spread.join(sets, "node").groupBy("bucket", "first", "second").applyInPandas(_cross_links(settings.percent, settings.agree), "node binary, other binary")
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -172,19 +181,22 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame
     found = cut(source.mapInPandas(_features(settings), FEATURES).select("doc_id", "row", "n", "node", F.when(F.col("node").isNotNull(), buckets).alias("buckets")))
     reps = found.where("node is not null").groupBy("node").agg(F.min(F.struct("row", "n", "buckets")).alias("rep"))
     banded = reps.select("node", "rep.row", "rep.n", F.explode("rep.buckets").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").select("bucket", "centre")
+    # Written first, so that the join has a shuffle of its own on both sides and Spark can split hot buckets.
+    shared = cut(banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").select("bucket", "centre"))
     members = cut(banded.join(shared, "bucket"))
     # Sets are rebuilt from the texts of one row per class that shares a bucket.
     wanted = members.groupBy("row").agg(F.min("node").alias("node"))
     texts = source.join(wanted, "row").dropDuplicates(["row"]).select("node", "text")
-    sets = cut(texts.mapInPandas(_sets(settings), "node binary, items array<bigint>, signature array<int>"))
+    sets = cut(texts.mapInPandas(_sets(settings), "node binary, items array<bigint>, signature array<int>, marks binary"))
     pairs = members.where("node <> centre").select("node", "centre").distinct()
-    left = sets.select("node", F.col("items").alias("a"), F.col("signature").alias("s"))
-    right = sets.select(F.col("node").alias("centre"), F.col("items").alias("b"), F.col("signature").alias("t"))
-    agreed = F.size(F.array_intersect("s", "t")) >= settings.agree
-    links = pairs.join(left, "node").join(right, "centre").where(agreed & close(F.col("a"), F.col("b"), settings.percent)).select("node", F.col("centre").alias("other"))
+    signed = sets.select("node", "signature")
+    agreed = pairs.join(signed, "node").join(signed.select(F.col("node").alias("centre"), F.col("signature").alias("other")), "centre")
+    agreed = cut(agreed.where(F.size(F.array_intersect("signature", "other")) >= settings.agree).select("node", "centre"))
+    whole = sets.select("node", "items")
+    checked = agreed.join(whole, "node").join(whole.select(F.col("node").alias("centre"), F.col("items").alias("other")), "centre")
+    links = checked.where(close(F.col("items"), F.col("other"), settings.percent)).select("node", F.col("centre").alias("other"))
     stars = connected(links)
-    more = cut(_residual(members.select("bucket", "node", "n"), stars.select(F.col("u").alias("node"), F.col("v").alias("root")), sets.select("node", "items"), settings))
+    more = cut(_residual(members.select("bucket", "node", "centre", "n"), stars.select(F.col("u").alias("node"), F.col("v").alias("root")), sets.select("node", "items", "marks"), settings))
     roots = connected(stars.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(more))
     return found, roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
