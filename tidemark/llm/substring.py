@@ -99,6 +99,7 @@ def repeats(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS) -> Da
     found = stored(found, "spans")
     place = F.struct("rank", "row", "first")
     firsts = found.groupBy("hash").agg(F.min(place).alias("kept"), F.count("*").alias("times")).where("times > 1").select("hash", "kept")
+    firsts = stored(firsts, "firsts")  # the join then has a shuffle of its own on both sides, and Spark can split hot hashes
     later = found.join(firsts, "hash").where(place != F.col("kept")).select("row", "first", "size")
     return later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "size"))).alias("places"))
 
