@@ -153,6 +153,19 @@ def test_substring_matches_brute_force(spark):
     assert got[104]["n_removed"] == 8 and got[100]["text"] == ""
 
 
+def test_substring_sees_passages_cut_inside_sentences(spark):
+    word = map("w{}".format, range(1000))
+    line = lambda n: [next(word) for _ in range(n)]
+    ends = lambda: " ".join(line(6)).capitalize()
+    # 20 + (15 + 15) + 20 and 18 + 24 + 18 words are equal; the cut sentences begin and end differently.
+    for number, whole in enumerate(([15, 15], [24])):
+        middle = " ".join(" ".join(line(n)).capitalize() + "." for n in whole)
+        head, tail = " ".join(line(20)), " ".join(line(20)).capitalize()
+        rows = [(i, f"{ends()} {head}. {middle} {tail} {ends()}.") for i in range(2)]
+        got = {r["doc_id"]: r for r in substring.clean(frame(spark, rows)).collect()}
+        assert got[0]["text"] == rows[0][1] and got[1]["n_removed"] == len(whole) and middle not in got[1]["text"], number
+
+
 def test_substring_edge_cases(spark):
     twice = "One two three. Four five six. Seven eight nine."
     got = sorted((r["doc_id"] or -1, r["text"], r["n_removed"]) for r in substring.clean(frame(spark, [(1, twice), (1, twice), (2, twice), (None, twice)])).collect())

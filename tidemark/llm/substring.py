@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
 Every run of ``run`` consecutive sentences is hashed, and so is every shorter run that
-alone has ``long_words`` words, since a repeated passage may consist of one or two long
-sentences.  Hashes are grouped over all documents; the first occurrence of a hash stays,
+alone has ``long_words`` words.  A repeated passage cut inside sentences shares only its
+whole sentences: two of them are always seen, one from ``long_words`` words on, and a
+passage without a whole sentence is not seen.  Hashes are grouped over all documents; the first occurrence of a hash stays,
 and sentences covered by any other occurrence are removed.
 """
 
@@ -21,7 +22,7 @@ from tidemark.llm.common import field, row_key, ship, stored
 
 ship(__name__)
 
-RUN, LONG_WORDS = 3, 40
+RUN, LONG_WORDS = 2, 20
 #: A sentence ends at a full stop, question or exclamation mark before white space, or with its line.
 END = re.compile(r"(?<![.!?…。！？])[.!?…。！？]++[\"'”’)\]]*+(?=\s)|\n")
 
