@@ -163,6 +163,17 @@ def test_bin_completion_beats_best_fit():
     assert sum(filler.best_fit(6)[1]) == 5 and sum(filler.fill(6)) == 6
 
 
+def test_packing_branches_on_whole_packings():
+    # 10 + 9, 8 + 8 + 4, 8 + 6 + 5; and 375 times 13 + 9 + 8, 125 times 13 + 9 + 4 + 4.
+    for counts, capacity, bins in (({10: 1, 9: 1, 8: 3, 6: 1, 5: 1, 4: 1}, 20, 3), ({13: 500, 9: 500, 8: 375, 4: 250}, 30, 500)):
+        patterns = packing.complete(counts, capacity)
+        used = Counter()
+        for pattern, times in patterns:
+            assert sum(pattern) <= capacity and times > 0
+            used.update({x: n * times for x, n in Counter(pattern).items()})
+        assert used == Counter(counts) and sum(t for _, t in patterns) == bins
+
+
 def test_queries_report_their_contract_columns(spark):
     sf = "/root/testdata/sf0.001"
     from tidemark.llm.queries import QUERIES

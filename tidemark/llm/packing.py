@@ -5,8 +5,11 @@ place and at most part of one sequence per partition is lost.  Within a partitio
 lengths form a histogram.  Around the largest unpacked piece, fillings of the rest of its
 sequence are enumerated depth first, longest piece first, which leaves out fillings
 dominated by a longer piece that fits; branches whose waste bound is not below the
-incumbent are pruned.  The incumbent starts as the best-fit filling, and the chosen filling
-is used as often as the histogram allows.
+incumbent are pruned.  A first packing uses each best filling as often as the histogram
+allows.  Where it has more sequences than the total length needs, whole packings are
+searched: the few best fillings of the largest piece are branched on, used as often as they
+last or once, while the waste stays within what a given number of sequences leaves.  Both
+searches have node limits, so the least number of sequences is not guaranteed.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +31,8 @@ from tidemark.llm.common import cut, field, ship, worker_state
 ship(__name__)
 
 CAPACITY, PIECES_PER_PARTITION, NODES, CACHED_WORDS, TOGETHER = 2048, 10_000, 400, 400_000, 64
+#: Fillings branched on for each sequence, and nodes of the search for a whole packing.
+FILLINGS, SEARCHED = 4, 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 #: Texts with special-token strings, or with separators that only Python counts as white space, are encoded whole.
@@ -195,10 +200,63 @@ class Filler:
                 self.used[length] -= 1
             at -= 1
 
-    def take(self, pattern: list[int]) -> int:
-        """Use a pattern as often as its pieces last."""
+    def fillings(self, room: int, most: int, keep: int = FILLINGS) -> list[tuple[int, list[int]]]:
+        """Up to ``keep`` fillings that nothing left fits into, with a waste of at most ``most``, the least first."""
+        self.found, self.most, self.keep, self.visited = [], most, keep, 0
+        self.volume = list(np.cumsum([x * self.left[x] for x in self.lengths])) if len(self.lengths) < 128 else None
+        self.used = Counter()
+        self._offer(*self.best_fit(room))
+        self._collect(room, len(self.lengths), [])
+        return self.found
+
+    def _offer(self, waste: int, filling: list[int]) -> None:
+        if waste <= self.most and (waste, filling) not in self.found:
+            self.found = sorted([*self.found, (waste, filling)], key=lambda f: f[0])[: self.keep]
+            if len(self.found) == self.keep:
+                self.most = self.found[-1][0] - 1  # later ones must be better
+
+    def _collect(self, room: int, below: int, chosen: list[int]) -> None:
+        self.visited += 1
+        fitting = bisect_right(self.lengths, room)
+        if room <= self.most and not any(self._free(x) for x in self.lengths[:fitting]):
+            self._offer(room, chosen)
+        at = min(fitting, below) - 1
+        while at >= 0 and self.most >= 0 and self.visited <= self.nodes:
+            length = self.lengths[at]
+            if self.volume is not None and room - self.volume[at] > self.most:
+                return
+            if self._free(length):
+                self.used[length] += 1
+                self._collect(room - length, at + 1, [*chosen, length])
+                self.used[length] -= 1
+            at -= 1
+
+    def around_largest(self, find) -> tuple[int, object]:
+        """The largest piece, and what ``find`` says of the rest of its sequence without it."""
+        largest = self.lengths[-1]
+        self.left[largest] -= 1
+        spare = self.left[largest] > 0
+        if not spare:
+            self.lengths.pop()
+        found = find(self.capacity - largest)
+        if not spare:
+            self.lengths.append(largest)
+        self.left[largest] += 1
+        return largest, found
+
+    def lasts(self, pattern: list[int]) -> int:
+        return min(self.left[x] // n for x, n in Counter(pattern).items())
+
+    def put_back(self, pattern: list[int], times: int) -> None:
+        for x, n in Counter(pattern).items():
+            if not self.left[x]:
+                insort(self.lengths, x)
+            self.left[x] += n * times
+
+    def take(self, pattern: list[int], times: int | None = None) -> int:
+        """Use a pattern so many times, or as often as its pieces last."""
         need = Counter(pattern)
-        times = min(self.left[x] // n for x, n in need.items())
+        times = times or self.lasts(pattern)
         for x, n in need.items():
             self.left[x] -= n * times
             if not self.left[x]:
@@ -207,21 +265,56 @@ class Filler:
         return times
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[list[int], int]]:
+def within(counts: dict[int, int], capacity: int, sequences: int, nodes: int, searched: int) -> tuple[list[tuple[list[int], int]] | None, int]:
+    """(a packing in at most so many sequences, if one was found; nodes searched)."""
+    filler, spent, failed = Filler(counts, capacity, nodes), 0, set()
+    spare = sequences * capacity - sum(x * n for x, n in counts.items())
+
+    def choices() -> list[tuple[list[int], int, int]]:
+        nonlocal spent
+        largest, found = filler.around_largest(lambda room: filler.fillings(room, spare))
+        spent += filler.visited
+        often = [([largest, *f], min(filler.lasts([largest, *f]), spare // waste if waste else len(f) + counts[largest]), waste) for waste, f in found]
+        return [*often, *((p, 1, waste) for p, times, waste in often if times > 1)][::-1]
+
+    # Levels of the search: state, choices left, choice in use.
+    levels: list[list] = []
+    while True:
+        if not filler.lengths:
+            return [level[2][:2] for level in levels], spent
+        state = (spare, *sorted(filler.left.items())) if len(filler.lengths) <= 64 else None
+        levels.append([state, [] if state in failed else choices(), None])
+        while not levels[-1][1]:
+            if levels[-1][0] is not None:
+                failed.add(levels[-1][0])
+            levels.pop()
+            if not levels:
+                return None, spent
+            pattern, times, waste = levels[-1][2]
+            filler.put_back(pattern, times)
+            spare += waste * times
+        if spent > searched:
+            return None, spent
+        pattern, times, waste = levels[-1][2] = levels[-1][1].pop()
+        filler.take(pattern, times)
+        spare -= waste * times
+
+
+def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, searched: int = SEARCHED) -> list[tuple[list[int], int]]:
     """Patterns of lengths and how often each is used, packing every piece."""
     filler, patterns = Filler(counts, capacity, nodes), []
     while filler.lengths:
-        largest = filler.lengths[-1]
-        filler.left[largest] -= 1
-        spare = filler.left[largest] > 0
-        if not spare:
-            filler.lengths.pop()
-        filling = filler.fill(capacity - largest)
-        if not spare:
-            filler.lengths.append(largest)
-        filler.left[largest] += 1
+        largest, filling = filler.around_largest(filler.fill)
         pattern = [largest, *filling]
         patterns.append((pattern, filler.take(pattern)))
+    needed = max(-(-sum(x * n for x, n in counts.items()) // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
+    for sequences in range(needed, sum(times for _, times in patterns)):
+        found, spent = within(counts, capacity, sequences, nodes, searched // 2)
+        if found is not None:
+            return found
+        searched -= spent
+        if searched <= 0:
+            break
     return patterns
 
 
