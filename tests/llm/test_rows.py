@@ -49,6 +49,23 @@ def test_exponent_meets_entropy_or_repetition():
     assert mixing.exponent({"a": 4}) == 1.0 and mixing.exponent({}) == 1.0
 
 
+def test_mix_takes_any_number_of_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), f"site{i}") for i in range(10_050)]
+    drawn = mixing.draw(frame(spark, rows))
+    assert drawn.select("source").distinct().count() == 10_050
+
+
+def test_plan_agrees_with_dictionaries(spark):
+    tokens = {"a": 10_000, "b": 1000, "c": 500, "d": 0, "e": 500}
+    counted = spark.createDataFrame(list(tokens.items()), "source string, tokens long")
+    for share, most, budget in ((0.8, 1000.0, None), (0.99, 3.0, None), (0.9, 2.0, 9000)):
+        want = mixing.weights(tokens, mixing.exponent(tokens, share, most, budget))
+        reads = mixing.passes(tokens, want, budget)
+        for known in (100, 0):  # sums on the driver, sums by Spark
+            for r in mixing.plan(counted, share, most, budget, known).collect():
+                assert math.isclose(r["weight"], want[r["source"]], rel_tol=1e-6) and math.isclose(r["passes"], reads[r["source"]], rel_tol=1e-6)
+
+
 def test_mix_reaches_weights_and_keeps_every_document(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randrange(1, 60), "big" if i % 3 else f"small{i % 5}") for i in range(1500)] + [(None, None, None), (5000, "", "big"), (7000, "w w", "big"), (7000, "w w", "big")]

@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, field, row_key
+from tidemark.llm.common import cut, field, row_key, stored
 
-ENTROPY_SHARE, REPETITIONS, BLOCK_TOKENS, SEED, SOURCES = 0.97, 2.0, 1 << 18, 11, 10_000
+ENTROPY_SHARE, REPETITIONS, BLOCK_TOKENS, SEED = 0.97, 2.0, 1 << 18, 11
+#: Up to so many different source totals are summed on the driver, more by Spark; exponents tried at once.
+TOTALS, TRIED = 10_000, 15
 
 
 def weights(tokens: dict[str, int], exponent: float) -> dict[str, float]:
@@ -59,16 +62,58 @@ def exponent(tokens: dict[str, int], entropy_share: float = ENTROPY_SHARE, repet
     return found if within(found) else 1.0 - bisect(lambda d: within(1.0 - d), 0.0, 1.0 - found)
 
 
-def plan(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, repetitions: float = REPETITIONS, budget: int | None = None) -> DataFrame:
-    """One row per source: source, tokens, weight, passes.  At most ``SOURCES`` sources are allowed."""
-    spark = docs.sparkSession
-    counted = docs.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(SOURCES + 1).collect()
-    if len(counted) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources: group them before mixing")
-    tokens = {r["source"]: r["tokens"] for r in counted}
-    shares = weights(tokens, exponent(tokens, entropy_share, repetitions, budget))
-    read = passes(tokens, shares, budget)
-    return spark.createDataFrame([(s, n, shares[s], float(read[s])) for s, n in tokens.items()], "source string, tokens long, weight double, passes double")
+def measures(sizes: DataFrame, total: int, known: int = TOTALS):
+    """A function from exponents to (sum of powers of the shares, entropy of the weights) over (tokens, sources) rows."""
+    few = sizes.limit(known + 1).collect()
+    if len(few) <= known:
+        logs, times = np.log(np.array([r["tokens"] for r in few], dtype=float) / total), np.array([r["sources"] for r in few], dtype=float)
+        sums = lambda t: (float((p := times * np.exp(t * logs)).sum()), float((p * logs).sum()))
+        found = lambda tried: [sums(t) for t in tried]
+    else:
+
+        def found(tried: list[float]) -> list[tuple[float, float]]:
+            log = F.log(F.col("tokens") / F.lit(float(total)))
+            power = [F.col("sources") * F.exp(F.lit(t) * log) for t in tried]
+            row = sizes.agg(*[F.sum(p) for p in power], *[F.sum(p * log) for p in power]).first()
+            return list(zip(row[: len(tried)], row[len(tried) :], strict=True))
+
+    return lambda tried: [(norm, math.log(norm) - t * moment / norm) for t, (norm, moment) in zip(tried, found(tried), strict=True)]
+
+
+def sections(wanted, low: float, high: float, rounds: int = 12) -> float:
+    """``bisect`` for a test of many values at once."""
+    if wanted([high])[0]:
+        return high
+    for _ in range(rounds):
+        tried = [low + (high - low) * k / (TRIED + 1) for k in range(1, TRIED + 1)]
+        good = wanted(tried)
+        at = good.index(False) if False in good else TRIED
+        low, high = tried[at - 1] if at else low, tried[at] if at < TRIED else high
+    return low
+
+
+def plan(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, repetitions: float = REPETITIONS, budget: int | None = None, known: int = TOTALS) -> DataFrame:
+    """One row per source: source, tokens, weight, passes.  Of the sources only sums reach the driver."""
+    sources = cut(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")))
+    all_ = sources.where("tokens > 0").agg(F.count("*").alias("n"), F.sum("tokens").alias("total"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).first()
+    if not all_["n"]:
+        return sources.withColumn("weight", F.lit(0.0)).withColumn("passes", F.lit(1.0))
+    total = all_["total"]
+    measure = measures(cut(sources.where("tokens > 0").groupBy("tokens").agg(F.count("*").alias("sources"))), total, known)
+    # Larger sources are read less often: the largest sets the budget, the smallest meets the repetition limit.
+    read = lambda n, t, norm: (n / total) ** t / norm / n
+    size = lambda t, norm: 1 / read(all_["most"], t, norm) if budget is None else budget
+    power = 1.0
+    if all_["n"] > 1:
+        power = sections(lambda ts: [e >= entropy_share * math.log(all_["n"]) for _, e in measure(ts)], 0.0, 1.0)
+        within = lambda ts: [read(all_["least"], t, norm) * size(t, norm) <= repetitions for t, (norm, _) in zip(ts, measure(ts), strict=True)]
+        if not within([power])[0]:
+            power = 1.0 - sections(lambda ds: within([1.0 - d for d in ds]), 0.0, 1.0 - power)
+    norm = measure([power])[0][0]
+    live = F.col("tokens") > 0
+    weight = F.when(live, F.pow(F.col("tokens") / F.lit(float(total)), F.lit(power)) / F.lit(norm)).otherwise(0.0)
+    passes_ = F.when(live, F.col("weight") * F.lit(float(size(power, norm))) / F.col("tokens")).otherwise(1.0)
+    return sources.withColumn("weight", weight).withColumn("passes", passes_)
 
 
 def draw(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, repetitions: float = REPETITIONS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
@@ -86,8 +131,8 @@ def draw(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, repetitions: flo
     words = F.regexp_count(text, F.lit("[^ \t-\r]+")).cast("long")
     key = row_key(field(docs, "doc_id", "long"), field(docs, "text", "string"))
     rows = cut(docs.select(field(docs, "doc_id", "long").alias("doc_id"), key.alias("row"), source.alias("source"), words.alias("tokens")))
-    shares = cut(plan(rows, entropy_share, repetitions, budget))
-    known = rows.join(F.broadcast(shares.withColumnRenamed("tokens", "source_tokens")), "source")  # at most SOURCES rows
+    shares = stored(plan(rows, entropy_share, repetitions, budget), "shares")
+    known = rows.join(shares.withColumnRenamed("tokens", "source_tokens"), "source")
     each = known.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("passes") - 1, F.lit(0)).cast("int"))))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_tokens") / block_tokens))
     placed = each.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row", "pass"), blocks)).withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "row", "pass"), 1))
