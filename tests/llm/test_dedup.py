@@ -121,44 +121,45 @@ def test_components_of_long_paths(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_substring(rows, run, long_words):
+def brute_substring(rows, run, least):
     seen, gone = {}, {}
     parts = {i: [" ".join(t[a:b].split()) for a, b in substring.sentences(t or "")] if t else [] for i, t in rows}
     for i in sorted(parts):
         s = parts[i]
-        for at in range(len(s)):
-            for n in range(1, run + 1):
-                if at + n <= len(s) and (n == run or sum(len(x.split()) for x in s[at : at + n]) >= long_words):
-                    if seen.setdefault((n, tuple(s[at : at + n])), (i, at)) != (i, at):
-                        gone.setdefault(i, set()).update(range(at, at + n))
+        long_enough = [(a, n) for a in range(len(s)) for n in range(run, len(s) - a + 1) if sum(len(x.split()) for x in s[a : a + n]) >= least]
+        shortest = {min(x for x in long_enough if x[0] == a) for a, _ in long_enough}
+        shortest |= {max(x for x in long_enough if sum(x) == e) for e in {sum(x) for x in long_enough}}
+        for a, n in sorted(shortest):
+            if seen.setdefault(tuple(s[a : a + n]), (i, a)) != (i, a):
+                gone.setdefault(i, set()).update(range(a, a + n))
     return {i: [x for k, x in enumerate(parts[i]) if k not in gone.get(i, ())] for i in parts}
 
 
 def test_substring_matches_brute_force(spark):
     rng = random.Random(4)
     line = lambda n: " ".join(rng.choices("abcdefgh", k=n)).capitalize() + rng.choice(".!?")
-    passages = [" ".join(line(20) for _ in range(4)), line(60), " ".join([line(28), line(28)])]
+    passages = [" ".join(line(20) for _ in range(4)), " ".join([line(50), line(4), line(3)]), " ".join([line(28), line(28)])]
     rows = []
     for i in range(60):
         parts = [line(rng.randrange(3, 12)) for _ in range(rng.randrange(1, 6))]
         if rng.random() < 0.5:
             parts.insert(rng.randrange(len(parts) + 1), rng.choice(passages))
         rows.append((i, rng.choice([" ", "\n", "\n\n"]).join(parts)))
-    rows += [(100, None), (101, ""), (102, " \n "), (103, "no end"), (104, ("Again and again it comes. " * 9).strip())]
+    rows += [(100, None), (101, ""), (102, " \n "), (103, "no end"), (104, ("Again and again it comes. " * 9).strip()), (105, "Short one. Short two."), (106, "Short one. Short two.")]
     got = {r["doc_id"]: r for r in substring.clean(frame(spark, rows)).collect()}
-    want = brute_substring(rows, substring.RUN, substring.LONG_WORDS)
+    want = brute_substring(rows, substring.RUN, substring.LEAST)
     assert {i: [" ".join(r["text"][a:b].split()) for a, b in substring.sentences(r["text"])] for i, r in got.items()} == want
     for p in passages:  # over 50 words: one copy in all is left
         assert sum(" ".join(p.split()) in " ".join(r["text"].split()) for r in got.values()) == 1
-    assert got[104]["n_removed"] == 8 and got[100]["text"] == ""
+    assert got[104]["n_removed"] == 8 and got[100]["text"] == "" and got[106]["n_removed"] == 0
 
 
 def test_substring_sees_passages_cut_inside_sentences(spark):
     word = map("w{}".format, range(1000))
     line = lambda n: [next(word) for _ in range(n)]
     ends = lambda: " ".join(line(6)).capitalize()
-    # 20 + (15 + 15) + 20 and 18 + 24 + 18 words are equal; the cut sentences begin and end differently.
-    for number, whole in enumerate(([15, 15], [24])):
+    # 20 + (15 + 15) + 20 and 20 + (13 + 12) + 20 words are equal; the cut sentences begin and end differently.
+    for number, whole in enumerate(([15, 15], [13, 12])):
         middle = " ".join(" ".join(line(n)).capitalize() + "." for n in whole)
         head, tail = " ".join(line(20)), " ".join(line(20)).capitalize()
         rows = [(i, f"{ends()} {head}. {middle} {tail} {ends()}.") for i in range(2)]
@@ -167,7 +168,7 @@ def test_substring_sees_passages_cut_inside_sentences(spark):
 
 
 def test_substring_edge_cases(spark):
-    twice = "One two three. Four five six. Seven eight nine."
+    twice = " ".join(f"One two three four five six seven eight number{i}." for i in range(3))
     got = sorted((r["doc_id"] or -1, r["text"], r["n_removed"]) for r in substring.clean(frame(spark, [(1, twice), (1, twice), (2, twice), (None, twice)])).collect())
     assert got == [(-1, "", 3), (1, twice, 0), (1, twice, 0), (2, "", 3)]
     assert substring.clean(frame(spark, []).limit(0)).count() == 0

@@ -1,10 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of ``run`` consecutive sentences is hashed, and so is every shorter run that
-alone has ``long_words`` words.  A repeated passage cut inside sentences shares only its
-whole sentences: two of them are always seen, one from ``long_words`` words on, and a
-passage without a whole sentence is not seen.  Hashes are grouped over all documents; the first occurrence of a hash stays,
-and sentences covered by any other occurrence are removed.
+From every sentence on, and up to every sentence, the shortest run of at least two consecutive
+sentences with ``least`` words is hashed to 128 bits, so each whole sentence of a repeated
+passage lies in a span as soon as the passage's whole sentences are several and have that many
+words.  Hashes are grouped over all documents; the first occurrence of a hash stays, and
+sentences covered by any other occurrence are removed.  A passage cut inside sentences shares
+only its whole sentences.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from tidemark.llm.common import field, row_key, ship, stored
 
 ship(__name__)
 
-RUN, LONG_WORDS = 2, 20
+RUN, LEAST = 2, 25
 #: A sentence ends at a full stop, question or exclamation mark before white space, or with its line.
 END = re.compile(r"(?<![.!?…。！？])[.!?…。！？]++[\"'”’)\]]*+(?=\s)|\n")
 
@@ -40,28 +41,49 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def spans(text: str, run: int, long_words: int) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, number of sentences) of every run; white space counts as one space."""
+def runs(counts: list[int], run: int, least: int) -> list[tuple[int, int]]:
+    """(first sentence, number) of the shortest runs from and up to every sentence, each once."""
+    total, found = np.concatenate([[0], np.cumsum(counts)]).tolist(), set()
+    n = len(counts)
+    end, start = 0, 0
+    for i in range(n):
+        end = max(end, i + run)
+        while end <= n and total[end] - total[i] < least:
+            end += 1
+        if end > n:
+            break
+        found.add((i, end - i))
+    for j in range(run, n + 1):
+        while start + 1 <= j - run and total[j] - total[start + 1] >= least:
+            start += 1
+        if total[j] - total[start] >= least:
+            found.add((start, j - start))
+    return sorted(found)
+
+
+def spans(text: str, run: int, least: int) -> list[tuple[int, int, int, int]]:
+    """(two halves of the hash, first sentence, number of sentences) of every span; white space counts as one space."""
     words = [text[a:b].split() for a, b in sentences(text)]
-    counts, plain = [len(w) for w in words], [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
+    plain = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
     found = []
-    for n in range(1, run + 1):
-        for i in range(len(words) - n + 1):
-            if n == run or sum(counts[i : i + n]) >= long_words:
-                digest = hashlib.blake2b(b"\n".join(plain[i : i + n]), digest_size=8, salt=bytes([n])).digest()
-                found.append((int.from_bytes(digest, "little", signed=True), i, n))
+    for first, n in runs([len(w) for w in words], run, least):
+        digest = hashlib.blake2b(b"\n".join(plain[first : first + n]), digest_size=16).digest()
+        found.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), first, n))
     return found
 
 
-def _spans(run: int, long_words: int):
+def _spans(run: int, least: int):
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):  # bounded output batches
                 part = batch.iloc[at : at + 256]
-                found = [spans(t or "", run, long_words) for t in part["text"]]
+                found = [spans(t or "", run, least) for t in part["text"]]
                 sizes = [len(f) for f in found]
-                flat = np.array([x for f in found for x in f], dtype=np.int64).reshape(-1, 3)
-                yield pd.DataFrame({"hash": flat[:, 0], "rank": np.repeat(part["rank"].to_numpy(), sizes), "row": np.repeat(part["row"].to_numpy(), sizes), "first": flat[:, 1].astype(np.int32), "size": flat[:, 2].astype(np.int32)})
+                flat = np.array([x for f in found for x in f], dtype=np.int64).reshape(-1, 4)
+                yield pd.DataFrame({
+                    "hash": flat[:, 0], "hash2": flat[:, 1], "rank": np.repeat(part["rank"].to_numpy(), sizes), "row": np.repeat(part["row"].to_numpy(), sizes),
+                    "first": flat[:, 2].astype(np.int32), "size": flat[:, 3].astype(np.int32),
+                })
 
     return go
 
@@ -92,20 +114,24 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield merged.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(), spans=[[] if p is None else p for p in batch["places"]])[["doc_id", "text", "n_sentences", "n_removed", "spans"]]
 
 
-def repeats(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
-    """(row, places) of rows with spans that occur earlier; places are (first, size) in sentences."""
-    source = docs.select(field(docs, "doc_id", "long").alias("doc_id"), field(docs, "text", "string").alias("text"))
-    source = source.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    found = source.mapInPandas(_spans(run, long_words), "hash long, rank long, row long, first int, size int")
+def _rank(docs: DataFrame):
+    return F.coalesce(field(docs, "doc_id", "long"), F.lit((1 << 63) - 1))
+
+
+def repeats(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
+    """(rank, row, places) of rows with spans that occur earlier; places are (first, size) in sentences."""
+    text = field(docs, "text", "string")
+    source = docs.select(_rank(docs).alias("rank"), row_key(field(docs, "doc_id", "long"), text).alias("row"), text.alias("text"))
+    found = source.mapInPandas(_spans(run, least), "hash long, hash2 long, rank long, row long, first int, size int")
     found = stored(found, "spans")
     place = F.struct("rank", "row", "first")
-    firsts = found.groupBy("hash").agg(F.min(place).alias("kept"), F.count("*").alias("times")).where("times > 1").select("hash", "kept")
+    firsts = found.groupBy("hash", "hash2").agg(F.min(place).alias("kept"), F.count("*").alias("times")).where("times > 1").select("hash", "hash2", "kept")
     firsts = stored(firsts, "firsts")  # the join then has a shuffle of its own on both sides, and Spark can split hot hashes
-    later = found.join(firsts, "hash").where(place != F.col("kept")).select("row", "first", "size")
-    return later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "size"))).alias("places"))
+    later = found.join(firsts, ["hash", "hash2"]).where(place != F.col("kept")).select("rank", "row", "first", "size")
+    return later.groupBy("rank", "row").agg(F.array_sort(F.collect_set(F.struct("first", "size"))).alias("places"))
 
 
-def clean(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
+def clean(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
     """Every document without its repeated spans: doc_id, text, n_sentences, n_removed, spans.
 
     One row per input row.  First is the smallest (doc_id, place); null ids come last and
@@ -114,6 +140,6 @@ def clean(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS) -> Data
     first for each of them, and both rows stay.  A repeat inside one text is removed too.
     """
     key = row_key(field(docs, "doc_id", "long"), field(docs, "text", "string"))
-    source = docs.select(field(docs, "doc_id", "long").alias("doc_id"), F.coalesce(field(docs, "text", "string"), F.lit("")).alias("text"), key.alias("row"))
-    joined = source.join(repeats(docs, run, long_words), "row", "left").select("doc_id", "text", "places")
+    source = docs.select(field(docs, "doc_id", "long").alias("doc_id"), _rank(docs).alias("rank"), F.coalesce(field(docs, "text", "string"), F.lit("")).alias("text"), key.alias("row"))
+    joined = source.join(repeats(docs, run, least), ["rank", "row"], "left").select("doc_id", "text", "places")
     return joined.mapInPandas(_remove, "doc_id long, text string, n_sentences long, n_removed long, spans array<struct<first: int, size: int>>")
