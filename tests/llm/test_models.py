@@ -43,6 +43,36 @@ def test_pages_give_their_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+A = "Nine people met in the hall to talk about the bridge, and most of them had walked there through the snow because no bus was running."
+B = "The engineer explained that the two outer arches are sound while the middle one has moved by a hand's width since the flood."
+C = "Nobody objected."
+#: (main part, its text): other texts and shapes than the labelled pages; the last block is often short or a link.
+SHAPES = [
+    (f"<article><p>Yes.</p><p>No.</p><ul><li><a href=/1>First plan</a></li><li><a href=/2>Second plan</a></li></ul><p>{A}</p></article>", f"Yes.\nNo.\nFirst plan\nSecond plan\n{A}"),
+    ("<p>Short tale.</p><p>They came.</p><p>They left.</p>", "Short tale.\nThey came.\nThey left."),
+    (f'<div class="post-content category-social"><h2>Bridge</h2><p>{A}</p><p>{B}</p></div>', f"Bridge\n{A}\n{B}"),
+    (f'<div class="search-engine-history"><p>{A}</p><p>{C}</p><p>{B}</p></div>', f"{A}\n{C}\n{B}"),
+    (f'<section class="legal-news"><h1>Ruling</h1><p>{B}</p><p>{A}</p></section>', f"Ruling\n{B}\n{A}"),
+    (f'<div class="article-body share-enabled"><p>{A}</p><p>{B}</p><p>{C}</p></div>', f"{A}\n{B}\n{C}"),
+    (f"<main><h1>Plans</h1><p>{A} <button>Play</button>{C}</p><blockquote>{B}</blockquote></main>", f"Plans\n{A} {C}\n{B}"),
+    (f"<div><h1>Log</h1><p>{B}</p><p>One.</p><p>Two.</p><p>{A}</p><p>Three.</p></div>", f"Log\n{B}\nOne.\nTwo.\n{A}\nThree."),
+    (f'<div id="story"><p>{A}{B}</p><table><tr><td>Arch</td><td>moved</td></tr></table><p>{C} {C}</p></div>', f"{A}{B}\nArch\nmoved\n{C} {C}"),
+    (f"<article><h1>Search</h1><h2>Comments on the plan</h2><p>{A}</p><h2>Related work</h2><p>{B}</p></article>", f"Search\nComments on the plan\n{A}\nRelated work\n{B}"),
+]
+AROUND = [
+    ("", ""), ('<nav><a href="/">Start</a> <a href="/m">Map</a></nav><div class="cookie-bar"><p>Cookies help us to run this site.</p></div>', "<footer><p>Valley Post, printed since 1890.</p></footer>"),
+    ('<header><p>The Valley Post</p></header><div class="ad"><p>Ten percent off all ladders until Sunday evening.</p></div>', '<div class="sidebar"><p>Weather: cold.</p></div><section class="comments"><h3>2 comments</h3><p>I was there and it is so.</p><p>Me too.</p></section>'),
+]
+
+
+def test_thirty_held_out_pages(spark):
+    cases = [(f"<html><body>{before}{main}{after}</body></html>", want) for main, want in SHAPES for before, after in AROUND]
+    pages = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    wrong = [(cases[i][0], got[i]) for i in got if got[i] != cases[i][1]]
+    assert len(cases) == 30 and not wrong, wrong
+
+
 def test_given_pages_give_the_article(spark):
     import html
     import re

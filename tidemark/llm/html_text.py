@@ -1,10 +1,10 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page becomes a flat list of text blocks, each with its word count, the share of its
-words in links, and the kind of place it stands in.  With the same figures of the blocks
-before and after it, a decision tree trained on :mod:`html_examples` says whether a block is
-main text.  The trained tree is compiled to a column expression, so deciding needs
-neither Python nor a shuffle.
+A page becomes a flat list of text blocks.  A block has its word count and link share, those
+of the blocks before and after it, the kind of element it stands in, how much of its class
+names tell of a place without main text, and how large and how linked the innermost such place
+is.  A decision tree trained on the pages of :mod:`html_examples` weighs these; no name
+decides by itself.  The trained tree is compiled to a column expression.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ ship(__name__)
 # Element names and the words of class, id and role that mark places without main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
-HIDDEN = frozenset("head noscript template svg math iframe object select button canvas audio video datalist dialog".split())
+HIDDEN_INLINE = frozenset("noscript template svg math iframe object select button canvas audio video datalist script style textarea".split())
+HIDDEN = HIDDEN_INLINE | {"head", "dialog"}
 ASIDE = frozenset("nav footer aside form menu".split())
 MAIN = frozenset("article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -40,10 +41,14 @@ HINTS = frozenset(
     "respond reply replies disqus discussion related recommended recommendations widget toolbar pagination pager copyright legal search contentinfo complementary form dialog skip".split()
 )
 OF_TEXT = frozenset("article entry post story content title section chapter".split())  # whose headers are main text
+TEXT_NAMES = frozenset("article entry post story content chapter body main text".split())
+FILLING = frozenset("list item items wrapper wrap box bar area block container inner outer left right top bottom side site page global col row section posts links form button".split())
 NEUTRAL = frozenset("with has no without layout".split())
-FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after", "heading", "scope", "aside")
+FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after", "heading", "scope", "aside", "named", "place_share", "place_links", "told")
 BLOCKS = "array<struct<text: string, main: int, " + ", ".join(f"{f}: double" for f in FEATURES) + ">>"
 
+PLACES = ("aside", "full", "part")
+
 _TAG = re.compile(r"[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _PLACE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -92,12 +97,16 @@ class _Page:
 
     def __init__(self) -> None:
         self.blocks: list[dict] = []
-        self.stack: list[tuple[str, str]] = []  # (name, mark): hidden, aside, main or nothing
+        self.stack: list[tuple[str, str]] = []  # (name, mark): hidden, aside, full, part, main or nothing
         self.open: Counter = Counter()
         self.marks: Counter = Counter()
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.heading = self.aside_block = self.labelled = False
+        self.heading = self.labelled = False
+        self.own = ""  # the mark of a paragraph
+        self.inside = [0]  # numbers of the open places that are marked, the innermost last
+        self.places = 0
+        self.told = 0.0  # share of telling words in the last heading
         self.has_main = False
 
     def text(self, content: str) -> None:
@@ -112,11 +121,20 @@ class _Page:
         if text:
             words = text.count(" ") + 1
             linked = min(words, len(" ".join(self.linked).split()))
+            if self.heading:
+                heard = _WORD.findall(text.lower())
+                self.told = sum(w in HINTS for w in heard) / max(1, len(heard))
+            place = self.inside[-1]
+            if self.own:
+                self.places += 1
+                place = self.places
+            aside = self.marks["aside"] > 0 or self.own in ("aside", "hidden")
+            named = 1.0 if self.marks["full"] or self.own == "full" else 0.5 if self.marks["part"] or self.own == "part" else 0.0
             self.blocks.append({
                 "text": text, "main": int(self.labelled), "words": float(words), "link_share": linked / words, "heading": float(self.heading),
-                "scope": float(bool(self.marks["main"])), "aside": float(self.marks["aside"] > 0 or self.aside_block),
+                "scope": float(bool(self.marks["main"])), "aside": float(aside), "named": named, "told": 0.0 if self.marks["main"] else self.told, "place": place, "linked": linked,
             })
-        self.parts, self.linked, self.heading, self.aside_block, self.labelled = [], [], False, False, False
+        self.parts, self.linked, self.heading, self.own, self.labelled = [], [], False, "", False
 
     def _mark(self, name: str, attributes: str) -> str:
         if name in HIDDEN or (attributes and _UNSEEN.search(attributes)):
@@ -127,16 +145,20 @@ class _Page:
             return "aside"
         if name in ("html", "body") or "=" not in attributes:
             return ""
+        full = part = text = False
         for found in _PLACE.findall(attributes):
             for one in found.strip("\"'").lower().split():
                 words = set(_WORD.findall(one))
+                if not words or words & NEUTRAL:
+                    continue
                 banner = "header" in words and not words & OF_TEXT and not self.marks["main"]
-                if (words & HINTS or banner) and not words & NEUTRAL:
-                    return "aside"
-        return ""
+                full |= bool(words & HINTS and words <= HINTS | FILLING | TEXT_NAMES) or banner
+                part |= bool(words & HINTS)
+                text |= words <= TEXT_NAMES
+        return "full" if full and not text else "part" if full or part else ""
 
     def start(self, name: str, attributes: str) -> None:
-        block = name not in INLINE
+        block = name not in INLINE and name not in HIDDEN_INLINE
         if name == "body":
             self.close("head")
         elif name == "a":
@@ -149,7 +171,7 @@ class _Page:
             return
         mark = self._mark(name, attributes)
         if name == "p":  # ends at the next block, so it needs no place in the stack
-            self.aside_block = mark in ("aside", "hidden")
+            self.own = mark if mark != "main" else ""
         else:
             if name in ITEMS and self.open[name]:
                 for place in range(len(self.stack) - 1, -1, -1):
@@ -161,6 +183,9 @@ class _Page:
             self.stack.append((name, mark))
             self.open[name] += 1
             self.marks[mark] += 1
+            if mark in PLACES:
+                self.places += 1
+                self.inside.append(self.places)
             self.has_main |= mark == "main"
         if block:
             self.heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
@@ -170,10 +195,12 @@ class _Page:
         for name, mark in self.stack[place:]:
             self.open[name] -= 1
             self.marks[mark] -= 1
+            if mark in PLACES:
+                self.inside.pop()
         del self.stack[place:]
 
     def close(self, name: str) -> None:
-        if name not in INLINE:
+        if name not in INLINE and name not in HIDDEN_INLINE:
             self.end_block()
         if self.open[name]:
             place = len(self.stack) - 1
@@ -184,10 +211,18 @@ class _Page:
     def finish(self) -> list[dict]:
         self.end_block()
         edge = {"words": 0.0, "link_share": 0.0}
+        words, linked = Counter(), Counter()
+        for block in self.blocks:
+            words[block["place"]] += block["words"]
+            linked[block["place"]] += block["linked"]
+        total = sum(words.values())
         for i, block in enumerate(self.blocks):
             before, after = self.blocks[i - 1] if i else edge, self.blocks[i + 1] if i + 1 < len(self.blocks) else edge
             block |= {"words_before": before["words"], "link_share_before": before["link_share"], "words_after": after["words"], "link_share_after": after["link_share"]}
             block["scope"] = block["scope"] if self.has_main else 0.5
+            place = block.pop("place")
+            block["place_share"], block["place_links"] = (words[place] / total, linked[place] / words[place]) if place else (1.0, 0.0)
+            del block["linked"]
         return self.blocks
 
 
@@ -209,11 +244,11 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "blocks": [blocks(x) for x in batch["html"]]})
 
 
-def fit(spark: SparkSession, examples: tuple[str, ...] = html_examples.EXAMPLES, depth: int = 6) -> str:
+def fit(spark: SparkSession, examples: tuple[str, ...] = html_examples.EXAMPLES, depth: int = 8) -> str:
     """The decision tree over the blocks of the labelled pages, as Spark ML's text form."""
     rows = [(float(b["main"]), Vectors.dense([b[f] for f in FEATURES])) for page in examples for b in blocks(page)]
     table = spark.createDataFrame(rows, ["label", "features"])
-    return DecisionTreeClassifier(maxDepth=depth, seed=1, maxBins=64).fit(table).toDebugString
+    return DecisionTreeClassifier(maxDepth=depth, seed=1, maxBins=64, minInstancesPerNode=12, minInfoGain=0.003).fit(table).toDebugString
 
 
 def compile_tree(text: str, feature: dict[str, Column]) -> Column:
