@@ -21,16 +21,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_PIECE = 1_000_000
-LEAST_PIECES = 4
+LEAST_PIECES = 1
 PIECE = "_piece"
 
 
 def cut_points(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE, least: int = LEAST_PIECES) -> list[float]:
     """Upper ends of even ranges of ``order``, as Spark's range partitioning places them.
 
-    The number of ranges follows the number of rows without a cap, and is never below
-    ``least``, so small and large tables run the same plan.  The driver receives one number
-    per range.
+    The number of ranges follows the number of rows without a cap; a table of one range needs no
+    cut.  The driver receives one number per range.
     """
     values = df.select(F.col(order).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
     pieces = max(least, -(-df.count() // max(rows_per_piece, 1)))
