@@ -32,15 +32,16 @@ def _doubled(state: DataFrame, value: str, down: bool) -> DataFrame:
 
     ``far`` is the ancestor 1, 2, 4, ... edges up.  A node with very many children is a hot key
     of the join; both its sides are shuffled from written rows, so Spark splits that key at run time.
+    The merge hints keep tables that grow with the input from being broadcast through the driver.
     """
     while not state.where("far IS NOT NULL").isEmpty():
         above = state.select(F.col("id").alias("above"), F.col("far").alias("next"), F.col(value).alias("high"))
-        stepped = state.join(above, F.col("far") == F.col("above"), "left").drop("above")
+        stepped = state.join(above.hint("merge"), F.col("far") == F.col("above"), "left").drop("above")
         if down:
             stepped = stepped.withColumn(value, F.col(value) + F.coalesce("high", F.lit(0)))
         else:
             more = state.where("far IS NOT NULL").groupBy(F.col("far").alias("above")).agg(F.sum(value).alias("more"))
-            stepped = stepped.join(more, F.col("id") == F.col("above"), "left").withColumn(value, F.col(value) + F.coalesce("more", F.lit(0)))
+            stepped = stepped.join(more.hint("merge"), F.col("id") == F.col("above"), "left").withColumn(value, F.col(value) + F.coalesce("more", F.lit(0)))
         state = cut(stepped.withColumn("far", F.col("next")).select(*state.columns))
     return state.drop("far")
 
@@ -56,7 +57,7 @@ def placed(nodes: DataFrame, bound: int = BOUND) -> DataFrame:
     before = F.sum("width").over(W.partitionBy("parent").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     buckets = buckets.select(F.col("parent").alias("p"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("before"))
     dealt = dealt.withColumn("inside", F.coalesce(inside, F.lit(0)))
-    offsets = dealt.join(buckets, F.col("parent").eqNullSafe(F.col("p")) & (F.col("bucket") == F.col("b")))
+    offsets = dealt.join(buckets.hint("merge"), F.col("parent").eqNullSafe(F.col("p")) & (F.col("bucket") == F.col("b")))
     offsets = cut(offsets.select("id", F.col("parent").alias("far"), "full", (1 + F.col("inside") + F.col("before")).alias("own"), (1 + F.col("inside") + F.col("before")).alias("pre")))
     return _doubled(offsets, "pre", True).select("id", "pre", (F.col("pre") - F.col("own")).alias("up"), "full")
 
@@ -82,7 +83,7 @@ def _split(active: DataFrame, values: Sequence[str]) -> DataFrame:
     earlier = F.max("last").over(W.partitionBy("comp").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
     ranges = ranges.select("comp", "range", earlier.alias("earlier"))
     here = F.last("child", ignorenulls=True).over(W.partitionBy("comp", "range").orderBy("pre").rowsBetween(W.unboundedPreceding, W.currentRow))
-    joined = joined.withColumn("here", here).join(ranges, ["comp", "range"]).withColumn("tree", F.coalesce("here", "earlier"))
+    joined = joined.withColumn("here", here).join(ranges.hint("merge"), ["comp", "range"]).withColumn("tree", F.coalesce("here", "earlier"))
     inner = below & (F.col("pre") != F.col("c.pre"))
     return cut(joined.select(
         "pre", "up", "full", *values, *[f"t_{v}" for v in values],
@@ -148,7 +149,7 @@ def rollup(nodes: DataFrame, values: Sequence[str], bound: int = BOUND) -> DataF
     nodes = cut(nodes.select("id", "parent", *[F.coalesce(F.col(v), F.lit(0)).cast("long").alias(v) for v in values]))
     total = nodes.count()
     order = cut(placed(nodes, bound))
-    rows = nodes.join(order, "id").select("pre", "up", "full", F.col("full").alias("size"), *values)
+    rows = nodes.join(order.hint("merge"), "id").select("pre", "up", "full", F.col("full").alias("size"), *values)
     top = nodes.sparkSession.range(1).select(F.lit(0).cast("long").alias("pre"), F.lit(-1).cast("long").alias("up"), *[F.lit(total + 1).cast("long").alias(c) for c in ("full", "size")], *[F.lit(0).cast("long").alias(v) for v in values])
     # One component: a node above all trees makes the forest a tree.
     active = rows.unionByName(top).select("*", *[F.lit(0).cast("long").alias(f"t_{v}") for v in values], F.lit(0).cast("long").alias("comp"), F.lit(total + 1).cast("long").alias("m"))
@@ -164,4 +165,4 @@ def rollup(nodes: DataFrame, values: Sequence[str], bound: int = BOUND) -> DataF
     done = pending.where("size = 0").select("pre", *[F.col(f"t_{v}").alias(v) for v in values])
     left = pending.where("size > 0").repartition("comp").sortWithinPartitions("comp", "pre")
     finished = left.mapInPandas(_finish(values), "pre long, " + ", ".join(f"{v} long" for v in values))
-    return order.select("id", "pre").join(done.unionByName(finished), "pre").drop("pre")
+    return order.select("id", "pre").join(done.unionByName(finished).hint("merge"), "pre").drop("pre")

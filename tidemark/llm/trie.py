@@ -53,11 +53,11 @@ def rebuilt(numbered: DataFrame, head_of, base_of) -> tuple[DataFrame, DataFrame
     """
     own = numbered.groupBy("conv_id").agg(F.count("*").alias("own"))
     base = own.select(F.col("conv_id").alias("base"), F.col("own").alias("base_turns"))
-    plan = own.select("conv_id", "own", head_of(F.col("conv_id")).alias("head"), base_of(F.col("conv_id")).alias("base")).join(base, "base", "left")
+    plan = own.select("conv_id", "own", head_of(F.col("conv_id")).alias("head"), base_of(F.col("conv_id")).alias("base")).join(base.hint("merge"), "base", "left")
     plan = stored(plan.withColumn("taken", F.least("head", F.coalesce("base_turns", F.lit(0)))), "trie-plan")
     most = plan.agg(F.max("head")).first()[0] or 0
-    heads = numbered.where(F.col("place") <= most).withColumnRenamed("conv_id", "base").join(plan.select("conv_id", "base", "head"), "base").where("place <= head")
-    tails = numbered.join(plan.select("conv_id", "head", "taken"), "conv_id").where("place > head")
+    heads = numbered.where(F.col("place") <= most).withColumnRenamed("conv_id", "base").join(plan.select("conv_id", "base", "head").hint("merge"), "base").where("place <= head")
+    tails = numbered.join(plan.select("conv_id", "head", "taken").hint("merge"), "conv_id").where("place > head")
     rows = heads.select("conv_id", F.col("place").alias("depth"), "a", "b", "bytes").unionByName(
         tails.select("conv_id", (F.col("place") - F.col("head") + F.col("taken")).alias("depth"), "a", "b", "bytes")
     )
@@ -96,7 +96,7 @@ def ends(last: DataFrame) -> DataFrame:
     parts = stored(parts, "trie-ends")
     several = parts.groupBy("key").agg(F.count("*").alias("n"), F.max("ids").alias("ids"))
     single = several.where("n = 1").select("key", F.sha2(F.col("ids").cast("binary"), 256).alias("ends_sha256"))
-    many = parts.join(several.where("n > 1").select("key"), "key", "left_semi").repartition("key").sortWithinPartitions("key", "range")
+    many = parts.join(several.where("n > 1").select("key").hint("merge"), "key", "left_semi").repartition("key").sortWithinPartitions("key", "range")
     return single.unionByName(many.mapInPandas(_hash, "key string, ends_sha256 string"))
 
 
@@ -118,7 +118,7 @@ def trie(conversations: DataFrame, head_of=None, base_of=None) -> DataFrame:
     deep = stored(deep.select(root.columns).unionByName(root), "trie-nodes")
     children = deep.groupBy(F.col("before").alias("key")).agg(F.count("*").alias("n_children"))
     parents = deep.select(F.col("key").alias("before"), F.col("conv_id").alias("parent_conv_id"))
-    nodes = deep.join(parents, "before", "left").join(children, "key", "left")
+    nodes = deep.join(parents.hint("merge"), "before", "left").join(children.hint("merge"), "key", "left")
     nodes = stored(nodes.select(
         "key", "conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved"),
     ), "trie-named")
@@ -128,8 +128,8 @@ def trie(conversations: DataFrame, head_of=None, base_of=None) -> DataFrame:
         F.when(F.col("n_children") == 0, 1).otherwise(0).alias("n_leaves"), F.col("saved").alias("saved_tokens"),
     )
     sums = forest.rollup(edges, ["n_leaves", "saved_tokens"]).select("id.conv_id", "id.depth", "n_leaves", "saved_tokens")
-    at_end = found.join(lengths, "conv_id").where("depth = turns").select("key", "conv_id")
+    at_end = found.join(lengths.hint("merge"), "conv_id").where("depth = turns").select("key", "conv_id")
     last = ends(at_end.unionByName(lengths.where("turns = 0").select(F.lit("0").alias("key"), "conv_id")))
-    return nodes.join(sums, ["conv_id", "depth"]).join(last, "key", "left").select(
+    return nodes.join(sums.hint("merge"), ["conv_id", "depth"]).join(last.hint("merge"), "key", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256")
     )
