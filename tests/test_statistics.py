@@ -1,12 +1,16 @@
 """Tail probabilities against hand values and plain recomputation."""
 
+import hashlib
 import math
 import random
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.functions import tails
+from tidemark.operators import causal, recovery
 
 
 def one(run, *values):
@@ -94,3 +98,38 @@ def test_greedy_pairs_equal_the_serial_rule():
 def test_normal_tail():
     assert tails.normal_two_sided(1.959963984540054) == pytest.approx(0.05, abs=1e-12)
     assert np.isfinite(tails.normal_two_sided(8.0))
+
+
+def _all_slopes(y):
+    i, j = np.triu_indices(len(y), 1)
+    return (y[j] - y[i]) / (j - i)
+
+
+def test_median_slope_matches_all_pairs():
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 4, 7, 30, 61, 200):
+        for y in (rng.normal(size=n), rng.integers(0, 3, n).astype(float), np.zeros(n), np.arange(n) * 0.25, np.where(np.arange(n) == 1, 1e9, rng.normal(size=n))):
+            assert recovery.median_slope(y) == pytest.approx(np.median(_all_slopes(y)), rel=1e-9, abs=1e-9)
+    assert recovery.median_slope(np.array([])) == 0.0 and recovery.median_slope(np.array([5.0])) == 0.0
+
+
+def test_median_slope_of_a_year_of_hours():
+    y = np.random.default_rng(1).normal(size=8760) + 0.01 * np.arange(8760)
+    assert recovery.median_slope(y) == pytest.approx(0.01, abs=1e-4)
+
+
+def test_replicate_sums_match_brute_force(spark):
+    rows = [(f"k{i}", float(i % 7), i % 3 == 0) for i in range(300)] + [("k1", None, True)]
+    df = spark.createDataFrame(rows, "key string, x double, arm boolean")
+    got = {r["replicate"]: (r["x"], r["n"]) for r in causal.replicate_sums(df, "key", 300, 5, {"x": F.when(F.col("arm"), F.col("x")), "n": F.lit(1.0)}).collect()}
+    limits, want = causal.poisson_limits(), {}
+    for r in range(1, 301):
+        x = n = 0.0
+        for key, value, arm in rows:
+            digest = hashlib.md5(key.encode()).hexdigest()
+            number = (int(digest[:8], 16) % causal.PRIME * causal.replicate_factor(r, 5) + int(digest[8:16], 16) % causal.PRIME) % causal.PRIME
+            weight = sum(limit <= number for limit in limits)
+            x, n = x + weight * (value or 0.0) * arm, n + weight
+        want[r] = (x, n)
+    assert got == want
+    assert len(limits) > 11 and np.mean([n for _, n in want.values()]) == pytest.approx(301, rel=0.02) and np.std([n for _, n in want.values()]) == pytest.approx(301**0.5, rel=0.15)

@@ -12,6 +12,7 @@ from tidemark.functions.columns import period_start
 from tidemark.operators import evaluation as ev
 from tidemark.operators import hypotheses as hy
 from tidemark.operators import recovery as rc
+from tidemark.operators.causal import PRIME, poisson_limits
 from tidemark.plans.config import RecoveryConfig, RecoveryPolicy
 
 C = Catalog()
@@ -271,9 +272,20 @@ def n9(spark, sf):
     return rounded(ev.compare_runs(results(spark, sf), results(spark, sf, 2)).select("cases", "top1_delta", "brier_delta", "paired_wins", "paired_losses"))
 
 
-@C.add("n10_paired_bootstrap")
+def _draw_sql(key: str, seed: int) -> str:
+    """The bootstrap weight of a row in replicate ``rep``, from the MD5 of its key."""
+    half = lambda i: f"(CAST('0x' || substr(md5({key}), {i}, 8) AS BIGINT) % {PRIME})"
+    number = f"(({half(1)} * ((rep * 1103515245 + {seed * 12345 + 1}) % {PRIME}) + {half(9)}) % {PRIME})"
+    return f"len(list_filter({poisson_limits()}, lambda p: p <= {number}))"
+
+
+@C.add("n10_paired_bootstrap", "WITH " + n_sql() + ", " + n_sql(2, "2") + f""", d AS (SELECT case_id, r2.top1_correct::INT - r.top1_correct::INT AS top1_correct, r2.brier_score - r.brier_score AS brier_score FROM r JOIN r2 USING (case_id)),
+w AS (SELECT rep, top1_correct, brier_score, {_draw_sql('case_id', 7)} AS w FROM d, range(1, 101) t(rep)),
+reps AS (SELECT rep, sum(top1_correct * w) / sum(w) AS top1_correct, sum(brier_score * w) / sum(w) AS brier_score FROM w GROUP BY rep),
+long AS (SELECT 'top1_correct' AS measure, top1_correct AS v FROM reps UNION ALL SELECT 'brier_score', brier_score FROM reps)
+SELECT measure, {r('stddev_samp(v)', 6, 'standard_error')}, {r('quantile_cont(v, 0.025)', 6, 'lower')}, {r('quantile_cont(v, 0.975)', 6, 'upper')} FROM long GROUP BY measure""")
 def n10(spark, sf):
-    return ev.paired_bootstrap(results(spark, sf), results(spark, sf, 2), iterations=100)
+    return rounded(ev.paired_bootstrap(results(spark, sf), results(spark, sf, 2), iterations=100))
 
 
 @C.add("n11_label_leaks", "SELECT doc_id AS case_id, source AS label FROM documents WHERE contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' the ') AND source = 'src1'")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import count_if
@@ -60,7 +62,6 @@ def greedy_pairs(frame: pd.DataFrame, limit: float) -> pd.DataFrame:
     Controls of equal score form one slot; emptied slots are skipped by path
     compression, so the slice costs about n log n.
     """
-    import numpy as np
 
     treated = frame[frame.exposed].sort_values(["x", "id"])
     slots = frame[~frame.exposed].sort_values(["x", "id"]).groupby("x", sort=True)["id"].apply(list)
@@ -161,21 +162,52 @@ def smd(df: DataFrame, features: Sequence[str], weight: str | None = None, expos
     return row.select(F.inline(rows))
 
 
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ... draws.
-_POISSON_ONE = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-                0.9994058151824183, 0.9999167588507119, 0.9999898032334681, 0.9999988747974020, 0.9999998885747217)
+PRIME = (1 << 31) - 1
 
 
-def replicates(df: DataFrame, key: str, samples: int, seed: int, aggregates: dict) -> DataFrame:
-    """Poisson bootstrap: every row joins each replicate with a hash-seeded weight.
+def poisson_limits() -> list[int]:
+    """Upper ends of 0, 1, 2, ... draws of Poisson(1) on the numbers below PRIME, up to the last one that they can tell."""
+    limits, term, total, k = [], math.exp(-1.0), 0.0, 0
+    while True:
+        total += term
+        k += 1
+        limits.append(int(total * PRIME))
+        term /= k
+        if int((total + term) * PRIME) == limits[-1]:
+            return limits
 
-    Rows fan out inside the map task and collapse to one row per replicate before
-    the shuffle.  ``aggregates`` maps a name to a function of the weight column.
+
+def replicate_factor(replicate: int, seed: int) -> int:
+    """The factor of a replicate in the hash of its rows."""
+    return (replicate * 1_103_515_245 + seed * 12_345 + 1) % PRIME
+
+
+def replicate_sums(df: DataFrame, key: str, samples: int, seed: int, sums: dict[str, Column]) -> DataFrame:
+    """Poisson bootstrap: (replicate, one weighted sum per entry of ``sums``) without multiplying rows.
+
+    Two 32-bit halves a and b of the key's MD5 give a row the number (a * factor + b) mod PRIME in each
+    replicate, and the Poisson law its weight.  Every task adds a batch times its weight matrix to one
+    array per sum and gives one row per replicate, so as many rows are read as there are.
     """
-    fanned = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    u = (F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)).cast("double") / F.lit(2.0**64)) + 0.5
-    weight = reduce(lambda a, b: a + b, ((u >= p).cast("int") for p in _POISSON_ONE)).cast("double")
-    return fanned.withColumn("_bw", weight).groupBy("replicate").agg(*(make(F.col("_bw")).alias(name) for name, make in aggregates.items()))
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    half = lambda i: F.conv(F.substring(digest, i, 8), 16, 10).cast("long")
+    names, limits = list(sums), np.array(poisson_limits(), dtype=np.int64)
+    factors = np.array([replicate_factor(r, seed) for r in range(1, samples + 1)], dtype=np.int64)
+
+    def add(batches):
+        totals = np.zeros((len(names), samples))
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                a, b = part["_a"].to_numpy()[:, None] % PRIME, part["_b"].to_numpy()[:, None] % PRIME
+                values = part[names].to_numpy(dtype=np.float64, na_value=0.0).T
+                for first in range(0, samples, 256):
+                    drawn = (a * factors[first : first + 256] + b) % PRIME
+                    totals[:, first : first + 256] += values @ np.searchsorted(limits, drawn, side="right")
+        yield pd.DataFrame({"replicate": np.arange(1, samples + 1), **dict(zip(names, totals, strict=True))})
+
+    rows = df.select(half(1).alias("_a"), half(9).alias("_b"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])
+    return rows.mapInPandas(add, "replicate int, " + ", ".join(f"{n} double" for n in names)).groupBy("replicate").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def interval(reps: DataFrame, column: str, confidence: float) -> tuple[float | None, float | None, float | None]:
@@ -207,12 +239,16 @@ def causal_estimates(scored: DataFrame, pairs: DataFrame, placebo: float | None,
     """Estimate table and the weighted-effect replicates for the money interval."""
     y, w, arm = F.col("churned").cast("double"), F.col("stabilized_weight"), F.col("exposed")
 
-    def gap(extra):
-        return lambda b: F.try_divide(F.sum(F.when(arm, y * extra * b)), F.sum(F.when(arm, extra * b))) - F.try_divide(F.sum(F.when(~arm, y * extra * b)), F.sum(F.when(~arm, extra * b)))
-
-    reps = cut(replicates(scored, "customer_id", config.bootstrap_samples, config.random_seed, {"naive": gap(F.lit(1.0)), "effect": gap(w)}))
+    sums = {}
+    for name, extra in (("naive", F.lit(1.0)), ("effect", w)):
+        for side, inside in (("t", arm), ("c", ~arm)):
+            sums |= {f"{name}_{side}_y": F.when(inside, y * extra), f"{name}_{side}_n": F.when(inside, extra)}
+    gap = lambda n: F.try_divide(F.col(f"{n}_t_y"), F.col(f"{n}_t_n")) - F.try_divide(F.col(f"{n}_c_y"), F.col(f"{n}_c_n"))
+    reps = replicate_sums(scored, "customer_id", config.bootstrap_samples, config.random_seed, sums)
+    reps = cut(reps.select("replicate", gap("naive").alias("naive"), gap("effect").alias("effect")))
     differences = cut(matched_differences(scored, pairs, "churned"))
-    matched_reps = replicates(differences, "treated_id", config.bootstrap_samples, config.random_seed + 1, {"matched": lambda b: F.try_divide(F.sum(F.col("difference") * b), F.sum(b))})
+    matched_reps = replicate_sums(differences, "treated_id", config.bootstrap_samples, config.random_seed + 1, {"d": F.col("difference"), "n": F.when(F.col("difference").isNotNull(), 1.0)})
+    matched_reps = cut(matched_reps.select("replicate", F.try_divide("d", "n").alias("matched")))
     arms = scored.agg(count_if(arm).alias("t"), count_if(~arm).alias("c"), weighted_ate("churned", "stabilized_weight").alias("iptw"),
                       (F.avg(F.when(arm, y)) - F.avg(F.when(~arm, y))).alias("naive")).first()
     matched = differences.agg(F.avg("difference").alias("m"), F.count(F.lit(1)).alias("n")).first()

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import count_if
-from tidemark.operators.causal import interval, replicates
+from tidemark.functions.lineage import cut
+from tidemark.operators.causal import interval, replicate_sums
 
 LOG_FLOOR = 1e-15
 _TEXTS = "array<string>"
@@ -154,10 +155,11 @@ def paired_bootstrap(left: DataFrame, right: DataFrame, *, iterations: int = 200
     """Percentile intervals of the paired mean differences."""
     if iterations < 100:
         raise ValueError("at least 100 bootstrap iterations are needed")
-    d = paired_deltas(left, right)
-    mean = lambda c: (lambda w: F.try_divide(F.sum(F.col(c) * w), F.sum(w)))
-    reps = replicates(d, "case_id", iterations, seed, {"top1_correct": mean("top1_correct"), "brier_score": mean("brier_score")}).persist()
-    rows = [(c, *interval(reps, c, confidence)) for c in ("top1_correct", "brier_score")]
+    measures = ("top1_correct", "brier_score")
+    sums = {c: F.col(c) for c in measures} | {f"{c}_n": F.when(F.col(c).isNotNull(), 1.0) for c in measures}
+    drawn = replicate_sums(paired_deltas(left, right), "case_id", iterations, seed, sums)
+    reps = cut(drawn.select("replicate", *[F.try_divide(c, f"{c}_n").alias(c) for c in measures]))
+    rows = [(c, *interval(reps, c, confidence)) for c in measures]
     return left.sparkSession.createDataFrame(rows, "measure string, standard_error double, lower double, upper double")
 
 

@@ -66,17 +66,51 @@ def recovery_windows(observations: DataFrame, config: RecoveryConfig, executed_a
     }).drop("_newest", "_post")
 
 
+def _pairs_within(y: np.ndarray, slope: float) -> int:
+    """How many pairs of places have a slope of at most ``slope``: inversions of y - slope * place, ties included."""
+    n = len(y)
+    tilted = y - slope * np.arange(n)
+    # The later of two equal values gets the smaller rank, so that it counts as an inversion.
+    rank = np.empty(n, dtype=np.int64)
+    rank[np.lexsort((-np.arange(n), tilted))] = np.arange(n)
+    total = 0
+    for bit in range(int(n - 1).bit_length()):
+        # Places with equal higher bits, in their order: each 0 counts the 1s before it.
+        order = np.argsort(rank >> (bit + 1), kind="stable")
+        group, one = rank[order] >> (bit + 1), (rank[order] >> bit) & 1
+        ones = np.cumsum(one)
+        first = np.searchsorted(group, group)
+        before = ones - np.where(first > 0, ones[first - 1], 0)
+        total += int(before[one == 0].sum())
+    return total
+
+
+def median_slope(y: np.ndarray) -> float:
+    """Median of the slopes of all pairs, in n log n per halving of the range of slopes and without listing pairs."""
+    n = len(y)
+    if n < 2:
+        return 0.0
+    pairs, steps = n * (n - 1) // 2, np.diff(y)
+
+    def ranked(k: int) -> float:
+        low, high = float(steps.min()), float(steps.max())  # every slope is a mean of steps
+        for _ in range(128):
+            middle = low + (high - low) / 2
+            if middle in (low, high):
+                break
+            if _pairs_within(y, middle) >= k:
+                high = middle
+            else:
+                low = middle
+        return low if _pairs_within(y, low) >= k else high
+
+    return ranked(pairs // 2 + 1) if pairs % 2 else (ranked(pairs // 2) + ranked(pairs // 2 + 1)) / 2
+
+
 @F.pandas_udf(T.DoubleType())
 def theil_sen(values: pd.Series) -> pd.Series:
-    """Median slope over the positions of one series (length bounded by its periods)."""
-    def slope(v) -> float:
-        y = np.asarray(v, dtype=np.float64)
-        if y.size < 2:
-            return 0.0
-        i, j = np.triu_indices(y.size, 1)
-        return float(np.median((y[j] - y[i]) / (j - i)))
-
-    return values.map(slope).astype("float64")
+    """Median slope over the positions of one series."""
+    return values.map(lambda v: median_slope(np.asarray(v, dtype=np.float64))).astype("float64")
 
 
 def adverse(value: Column, center: Column, direction: Column) -> Column:
