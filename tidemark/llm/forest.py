@@ -36,13 +36,16 @@ def _doubled(state: DataFrame, value: str, down: bool) -> DataFrame:
     """
     while not state.where("far IS NOT NULL").isEmpty():
         above = state.select(F.col("id").alias("above"), F.col("far").alias("next"), F.col(value).alias("high"))
-        stepped = state.join(above.hint("merge"), F.col("far") == F.col("above"), "left").drop("above")
+        linked = state.where("far IS NOT NULL")
+        stepped = linked.join(above.hint("merge"), F.col("far") == F.col("above"))
         if down:
-            stepped = stepped.withColumn(value, F.col(value) + F.coalesce("high", F.lit(0)))
-        else:
-            more = state.where("far IS NOT NULL").groupBy(F.col("far").alias("above")).agg(F.sum(value).alias("more"))
+            stepped = stepped.withColumn(value, F.col(value) + F.col("high"))
+        # Nodes that have reached the top stay as they are.
+        stepped = stepped.withColumn("far", F.col("next")).select(*state.columns).unionByName(state.where("far IS NULL"))
+        if not down:
+            more = linked.groupBy(F.col("far").alias("above")).agg(F.sum(value).alias("more"))
             stepped = stepped.join(more.hint("merge"), F.col("id") == F.col("above"), "left").withColumn(value, F.col(value) + F.coalesce("more", F.lit(0)))
-        state = cut(stepped.withColumn("far", F.col("next")).select(*state.columns))
+        state = cut(stepped.select(*state.columns))
     return state.drop("far")
 
 
