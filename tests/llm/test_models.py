@@ -212,3 +212,21 @@ def test_sql_agrees(spark, name):
     assert columns == sorted(want.columns)
     rows = lambda f: sorted(map(str, f[columns].itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_repeated_labelled_ids_are_one_example(spark):
+    rng = random.Random(2)
+    words, tell = [f"w{i}" for i in range(40)], ["vile", "nasty", "scum"]
+    rows = []
+    for i in range(160):
+        bad = i % 4 == 0
+        rows.append((i, " ".join(rng.choices(words, k=12) + (rng.choices(tell, k=3) if bad else [])) + ("!!! #|#" if bad else "."), "en", "s", 80))
+    labels = spark.createDataFrame([(r[0], int(r[0] % 4 > 0), int(r[0] % 4 == 0)) for r in rows], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    once = spark.createDataFrame(rows, schema).repartition(2)
+    often = spark.createDataFrame(rows + rows[:30] * 4, schema).repartition(3)
+    twice = labels.unionByName(labels.limit(50))
+    for score in (toxicity.score, quality.score):
+        want = {r["doc_id"]: round(r["score"], 9) for r in score(once, labels).collect()}
+        got = score(often, twice).collect()
+        assert len(got) == 280 and {r["doc_id"]: round(r["score"], 9) for r in got} == want

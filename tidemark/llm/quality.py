@@ -158,19 +158,22 @@ def _pages(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """Co-train on at most ``labelled`` labelled and ``pool`` other rows, the first in hash order of their ids.
+    """Co-train on at most ``labelled`` labelled and ``pool`` other ids, the first in hash order, one row of each.
 
     None where the labels hold fewer than two classes.  Rows whose label is not 0 or 1 count as unlabelled.
     """
     pages = _pages(docs)
     known = labels.select(field(labels, "doc_id", "long").alias("doc_id"), field(labels, "quality", "int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))  # an id with both labels is bad
     first = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     some = first(known, labelled)
-    ids = pages.select("doc_id").where("doc_id is not null")
+    ids = pages.select("doc_id").where("doc_id is not null").distinct()
     # As many ids as all labelled samples and the pool can take: enough of them are not in the sample.
     others = first(ids, pool + labelled).join(some.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
     chosen = cut(some.unionByName(first(others, pool)).dropDuplicates(["doc_id"]))
-    rows = pages.join(F.broadcast(chosen), "doc_id").mapInPandas(_features, "doc_id long, quality int, content array<double>, metadata array<double>").toPandas().sort_values("doc_id", kind="stable")
+    # An id that many rows share is one example, the row first in the order of its columns.
+    once = pages.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("page")).select("doc_id", "quality", "page.*")
+    rows = once.mapInPandas(_features, "doc_id long, quality int, content array<double>, metadata array<double>").toPandas().sort_values("doc_id", kind="stable")
     seen = rows[rows["quality"] >= 0]
     if seen["quality"].nunique() < 2:
         return None

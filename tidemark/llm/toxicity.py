@@ -151,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrat
     """
     spark = docs.sparkSession
     known = labels.select(field(labels, "doc_id", "long").alias("doc_id"), field(labels, "toxic", "int").alias("toxic"))
-    known = known.where("toxic in (0, 1) and doc_id is not null").withColumn("fold", remainder(F.col("doc_id"))).where("fold <> 1")
+    known = known.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # an id with both labels is toxic
+    known = known.withColumn("fold", remainder(F.col("doc_id"))).where("fold <> 1")
     shares = {(r["toxic"], r["fold"]): r["n"] for r in known.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for toxic in (0, 1):
@@ -160,6 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrat
             chosen = part if chosen is None else chosen.unionByName(part)
     chosen = cut(chosen.dropDuplicates(["doc_id"]))
     texts = docs.select(field(docs, "doc_id", "long").alias("doc_id"), field(docs, "text", "string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # An id that many rows share is one example, the row with the first text.
+    texts = texts.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text"))
     found = cut(texts.mapInPandas(_terms, "doc_id long, toxic int, fold long, term string, n long"))
     sizes = {r["toxic"]: r["n"] for r in chosen.where("fold = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
