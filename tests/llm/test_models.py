@@ -154,13 +154,53 @@ def test_co_training_uses_the_other_view():
     rng = np.random.default_rng(10)
     y = (rng.random(3000) < 0.7).astype(float)
     views = [y[:, None] * 2 + rng.normal(size=(3000, 3)), y[:, None] * 2 + rng.normal(size=(3000, 4))]
-    model = quality.co_train([v[:80] for v in views], y[:80], [v[80:1500] for v in views])
+    pools, free = [v[80:1500] for v in views], np.ones(1420, dtype=bool)
+
+    def ask(models, quota):
+        picked = list(quality.surest(models, pools, np.arange(1420), quota, free.copy()))
+        for _, _, rows, _ in picked:
+            free[rows] = False
+        both = [[p for p in picked if p[0] == view] for view in (0, 1)]
+        return [(pools[1 - view][np.concatenate([p[2] for p in found])], np.concatenate([np.full(len(p[2]), float(p[1])) for p in found])) for view, found in enumerate(both)]
+
+    model = quality.co_train([v[:80] for v in views], y[:80], ask)
     a, b, both = model.scores(*[v[1500:] for v in views])
     truth = y[1500:] == 1
     assert ((both > 0.5) == truth).mean() >= max(((a > 0.5) == truth).mean(), ((b > 0.5) == truth).mean()) - 0.005 > 0.9
     assert abs(both.mean() - truth.mean()) < 0.05
 
 
+def test_surest_pages_of_all_partitions(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(400, quality.CONTENT)), (rng.random(400) < 0.5).astype(float)
+    x[:, 0] += 2 * y
+    meta = [quality.metadata(None, f"s{int(c)}", None) for c in y]
+    models = [quality.Logistic.fit(x, y), quality.Logistic.fit(np.array(meta), y)]
+    rows = [(i, None, f"s{int(y[i])}", None, x[i].tolist(), (i * 7919) % 400) for i in range(400)]
+    pages = spark.createDataFrame(rows, quality.FIGURES + ", turn long").repartition(7)
+    ask, quota, gone = quality._handing(pages), (9, 14), set()
+    for _ in range(2):
+        got = ask(models, quota)
+        want = list(quality.surest(models, [x, np.array(meta)], np.array([r[5] for r in rows]), quota, np.array([i not in gone for i in range(400)])))
+        for view in (0, 1):
+            rows_, labels = (np.concatenate([part(p) for p in want if p[0] == view]) for part in (lambda p: p[2], lambda p: np.full(len(p[2]), p[1])))
+            assert labels.tolist() == got[view][1].tolist()
+            other = [x, np.array(meta)][1 - view][rows_]
+            assert np.allclose(other, got[view][0])
+        gone |= {int(i) for p in want for i in p[2]}
+    assert len(gone) > 40
+
+
+def test_quality_of_held_out_labels(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    aside = "crc32(cast(doc_id as string)) % 3 = 1"
+    rows = quality.figures(docs)
+    model = quality.train(rows, labels.where(f"not {aside}"))
+    got = rows.mapInPandas(quality._score(model, 0.5), quality.SCORES).join(labels.where(aside).select("doc_id", "quality"), "doc_id").toPandas()
+    good, bad = got[got["quality"] == 1], got[got["quality"] == 0]
+    assert len(bad) > 100 and good["kept"].mean() >= 0.98 and (~bad["kept"]).mean() >= 0.85
+
+
 def test_quality_on_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = {r["doc_id"]: r["kept"] for r in quality.score(docs, labels).collect()}

@@ -1,66 +1,68 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-Each view has its own logistic model.  In every round a view scores a pool of unlabelled
-pages and hands its most confident ones, with their pseudo-labels, to the other view's
-training set.  At the end each view is calibrated on labelled rows kept aside, and a
-two-input logistic model over both combines them.  Training uses a bounded sample; scoring
-reads every page once, without a shuffle.
+Each view has its own logistic model.  The content view sees the text only; the metadata
+view sees origin, language and the declared size, never the text.  In every round both
+views score all unlabelled pages and each hands the ones it is surest of, with their
+pseudo-labels, to the other view's training set.  At the end each view is calibrated on
+labelled rows kept aside, and a two-input logistic model over both combines them.  Texts are
+read once to make a small table of figures; the rounds scan that table.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, field, ship
+from tidemark.llm.common import cut, field, ship, stored
 
 ship(__name__)
 
-#: Bounds of the sample: labelled rows and unlabelled rows that training reads.
-LABELLED, POOL = 8000, 8000
-ROUNDS, EXCHANGED, THRESHOLD = 4, 200, 0.5
-CONTENT, BUCKETS = 14, 24
-META = 8 + 2 * BUCKETS
+#: Bound of the sample of labelled rows that training reads.
+LABELLED = 8000
+#: Rounds, pseudo-labels that a view hands over in each, the greatest doubt about one of them.
+ROUNDS, EXCHANGED, DOUBT = 4, 200, 0.05
+THRESHOLD = 0.5
+CONTENT, BUCKETS = 21, 24
+META = 3 + 2 * BUCKETS
 SCORES = "doc_id long, content_score double, metadata_score double, score double, kept boolean"
 # Characters counted by the content view, and frequent short words of the four languages.
 SYMBOLS, STOPS, DIGITS = "#*$%&|<>{}[]=_~^\\@", ".,;:?!", "0123456789"
 FUNCTION_WORDS = frozenset("the of and to in is that with for was der die und den von zu mit ist nicht ein le la les des est que un une dans pour el los las una por con para".split())
-_LETTERS = re.compile(r"[^\W\d_]")
 
 
 def content(text: str) -> list[float]:
-    """Figures of the words of a text alone."""
+    """Figures of the words and lines of a text alone."""
     words = text.split()
     n, size = max(1, len(words)), max(1, len(text))
     pairs = len(set(zip(words, words[1:])))
     upper = sum(map(str.isupper, words))
     count = lambda letters: sum(map(text.count, letters))
     symbols, marks = count(SYMBOLS), count(STOPS)
+    lines = text.split("\n")
+    lengths = list(map(len, lines))
+    raw = text.encode("utf-8", "surrogatepass")
     return [
         np.log1p(len(words)), min(20.0, sum(map(len, words)) / n), len(set(words)) / n, pairs / max(1, n - 1), upper / n, min(5.0, symbols / n), min(5.0, marks / n),
         min(5.0, text.count("!") / n), min(5.0, text.count("|") / n), count(DIGITS) / size, sum(map(FUNCTION_WORDS.__contains__, map(str.lower, words))) / n,
-        sum(map(str.istitle, words)) / n, float(upper / n > 0.3), float(symbols / n > 0.2),
+        sum(map(str.istitle, words)) / n, float(upper / n > 0.3), float(symbols / n > 0.2), np.log1p(len(text)), np.log1p(len(lines)),
+        np.log1p(sum(lengths) / len(lines)), np.log1p(max(lengths)), len(set(lines)) / len(lines), len(text.encode("ascii", "ignore")) / size, min(3.0, len(zlib.compress(raw, 1)) / size),
     ]
 
 
-def metadata(text: str, lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
-    """Figures of a page known without reading its words: origin, language, sizes and layout."""
-    size = len(text) if n_chars is None or n_chars != n_chars else float(n_chars)
-    lines = text.split("\n")
-    lengths = np.fromiter(map(len, lines), dtype=float, count=len(lines))
+def metadata(lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
+    """Figures of a page known without its text: origin, language and declared size."""
+    unknown = n_chars is None or n_chars != n_chars
     bucket = np.zeros(2 * BUCKETS)
     bucket[zlib.crc32((source or "").encode("utf-8", "surrogatepass")) % BUCKETS] = 1
     bucket[BUCKETS + zlib.crc32((lang or "").encode("utf-8", "surrogatepass")) % BUCKETS] = 1
-    ascii_share = len(text.encode("ascii", "ignore")) / max(1, len(text))
-    packed = len(zlib.compress(text.encode("utf-8", "surrogatepass"), 1)) / max(1, len(text))
-    return [np.log1p(size), np.log1p(len(lines)), np.log1p(lengths.mean()), np.log1p(lengths.max()), len(set(lines)) / len(lines), ascii_share, min(3.0, packed), float(lang is None), *bucket]
+    return [0.0 if unknown else np.log1p(max(0.0, float(n_chars))), float(unknown), float(lang is None), *bucket]
 
 
 @dataclass
@@ -110,29 +112,38 @@ class CoTrained:
         return (*(1 / (1 + np.exp(-z)) for z in calibrated), self.combined.chance(np.column_stack(calibrated)))
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> CoTrained:
-    """Train on three quarters of the labelled rows and the exchanged pool rows; calibrate on the rest."""
+#: Sure rows of each view: its features for the other view, and the pseudo-labels.
+Handed = list[tuple[np.ndarray, np.ndarray]]
+
+
+def surest(models: list[Logistic], views: list[np.ndarray], order: np.ndarray, quota: tuple[int, int], free: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """View, label, rows and doubt: at most ``quota[label]`` free rows of each, the least doubtful first, ties by ``order``."""
+    for view, (model, x) in enumerate(zip(models, views, strict=True)):
+        chance = model.chance(x)
+        for label, doubt in ((0, chance), (1, 1 - chance)):
+            rows = np.flatnonzero(free & (doubt <= DOUBT))
+            rows = rows[np.lexsort((order[rows], doubt[rows]))][: quota[label]]
+            yield view, label, rows, doubt[rows]
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, ask: Callable[[list[Logistic], tuple[int, int]], Handed], rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> CoTrained:
+    """Train on three quarters of the labelled rows and the rows handed over; calibrate on the rest.
+
+    ``ask(models, quota)`` returns, for each view, what it hands to the other one.
+    """
     aside = np.arange(len(y)) % 4 == 3
     if len({*y[aside]}) < 2 or len({*y[~aside]}) < 2:
         aside = np.zeros(len(y), dtype=bool)
     check = aside if aside.any() else ~aside
     sets = [[v[~aside], y[~aside]] for v in views]
-    free = np.ones(len(pools[0]), dtype=bool)
-    share = y[~aside].mean()
+    good = round(exchanged * y[~aside].mean())
     models = [Logistic.fit(*s) for s in sets]
     for _ in range(rounds):
-        given = []
-        for model, pool in zip(models, pools, strict=True):
-            rows = np.flatnonzero(free)
-            chance = model.chance(pool[rows]) if len(rows) else np.empty(0)
-            order = np.argsort(chance, kind="stable")
-            good = order[::-1][: round(exchanged * share)]
-            bad = order[: exchanged - len(good)]
-            good, bad = good[chance[good] >= 0.95], bad[chance[bad] <= 0.05]
-            given.append((rows[np.concatenate([good, bad])], np.concatenate([np.ones(len(good)), np.zeros(len(bad))])))
-        for taught, (rows, labels) in zip((1, 0), given, strict=True):
-            sets[taught] = [np.concatenate([sets[taught][0], pools[taught][rows]]), np.concatenate([sets[taught][1], labels])]
-            free[rows] = False
+        handed = ask(models, (exchanged - good, good))
+        if not any(len(labels) for _, labels in handed):
+            break
+        for taught, (rows, labels) in zip((1, 0), handed, strict=True):
+            sets[taught] = [np.concatenate([sets[taught][0], rows]), np.concatenate([sets[taught][1], labels])]
         models = [Logistic.fit(*s) for s in sets]
     logits = [m.logit(v[check]) for m, v in zip(models, views, strict=True)]
     calibrations = [Logistic.fit(z[:, None], y[check]) for z in logits]
@@ -140,56 +151,76 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], ro
     return CoTrained(models, calibrations, Logistic.fit(both, y[check]))
 
 
-def _view_rows(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    texts = [t or "" for t in batch["text"]]
-    a = np.array([content(t) for t in texts]).reshape(-1, CONTENT)
-    b = np.array([metadata(*r) for r in zip(texts, batch["lang"], batch["source"], batch["n_chars"].astype(float), strict=True)]).reshape(-1, META)
-    return a, b
+FIGURES = "doc_id long, lang string, source string, n_chars long, content array<double>"
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _stack(figures: pd.DataFrame) -> list[np.ndarray]:
+    meta = [metadata(*r) for r in zip(figures["lang"], figures["source"], figures["n_chars"].astype(float), strict=True)]
+    return [np.array(figures["content"].tolist(), dtype=float).reshape(-1, CONTENT), np.array(meta, dtype=float).reshape(-1, META)]
+
+
+def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        a, b = _view_rows(batch)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "content": list(a), "metadata": list(b)})
+        for at in range(0, len(batch), 1000):
+            part = batch.iloc[at : at + 1000]
+            yield part.assign(doc_id=part["doc_id"].astype("Int64"), n_chars=part["n_chars"].astype("Int64"), content=[content(t or "") for t in part["text"]]).drop(columns="text")
+
+
+def figures(docs: DataFrame) -> DataFrame:
+    """Figures of every row, written to the shared folder: metadata as given and numbers of the text."""
+    pages = docs.select(*[field(docs, n, k).alias(n) for n, k in (("doc_id", "long"), ("lang", "string"), ("source", "string"), ("n_chars", "long"), ("text", "string"))])
+    return stored(pages.mapInPandas(_measure, FIGURES), "figures")
+
+
+def _handing(unlabelled: DataFrame) -> Callable[[list[Logistic], tuple[int, int]], Handed]:
+    """Lets both views score all unlabelled pages and keeps the surest ones; a page is handed over once."""
+    taken: set[int] = set()
+    shape = "view int, label int, doubt double, doc_id long, turn long, lang string, source string, n_chars long, content array<double>"
+
+    def ask(models: list[Logistic], quota: tuple[int, int]) -> Handed:
+        gone = frozenset(taken)  # at most 2 * ROUNDS * EXCHANGED ids
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                free = ~batch["doc_id"].isin(gone).to_numpy()
+                for view, label, rows, doubt in surest(models, _stack(batch), batch["turn"].to_numpy(), quota, free):
+                    yield batch.iloc[rows].assign(view=view, label=label, doubt=doubt, n_chars=batch["n_chars"].iloc[rows].astype("Int64"))
 
+        first = F.row_number().over(W.partitionBy("view", "label").orderBy("doubt", "turn", "doc_id"))
+        chosen = unlabelled.mapInPandas(best, shape).withColumn("_n", first).where((F.col("_n") <= max(quota)) & (F.col("_n") <= F.when(F.col("label") == 1, quota[1]).otherwise(quota[0])))
+        rows = chosen.toPandas().sort_values(["view", "label", "_n"], ignore_index=True)
+        taken.update(map(int, rows["doc_id"]))
+        handed = []
+        for view in (0, 1):
+            part = rows[rows["view"] == view]
+            handed.append((_stack(part)[1 - view], part["label"].to_numpy(dtype=float)))
+        return handed
 
-def _pages(docs: DataFrame) -> DataFrame:
-    return docs.select(*[field(docs, n, k).alias(n) for n, k in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))])
+    return ask
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """Co-train on at most ``labelled`` labelled and ``pool`` other ids, the first in hash order, one row of each.
+def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
+    """Co-train on figures: at most ``labelled`` labelled ids, the first in hash order, and all other pages as unlabelled ones.
 
     None where the labels hold fewer than two classes.  Rows whose label is not 0 or 1 count as unlabelled.
+    An id that many rows share is one page, the row first in the order of its columns.
     """
-    pages = _pages(docs)
     known = labels.select(field(labels, "doc_id", "long").alias("doc_id"), field(labels, "quality", "int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))  # an id with both labels is bad
-    first = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    some = first(known, labelled)
-    ids = pages.select("doc_id").where("doc_id is not null").distinct()
-    # As many ids as all labelled samples and the pool can take: enough of them are not in the sample.
-    others = first(ids, pool + labelled).join(some.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
-    chosen = cut(some.unionByName(first(others, pool)).dropDuplicates(["doc_id"]))
-    # An id that many rows share is one example, the row first in the order of its columns.
-    once = pages.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("page")).select("doc_id", "quality", "page.*")
-    rows = once.mapInPandas(_features, "doc_id long, quality int, content array<double>, metadata array<double>").toPandas().sort_values("doc_id", kind="stable")
-    seen = rows[rows["quality"] >= 0]
+    some = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
+    once = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("content", "lang", "source", "n_chars")).alias("page")).select("doc_id", "page.*")
+    pages = stored(once.join(F.broadcast(some), "doc_id", "left").withColumn("turn", F.xxhash64("doc_id")), "once")
+    seen = pages.where("quality is not null").toPandas().sort_values("doc_id", kind="stable")
     if seen["quality"].nunique() < 2:
         return None
-    stack = lambda part, name, width: np.array(part[name].tolist()).reshape(-1, width)
-    free = rows[rows["quality"] < 0]
-    widths = (("content", CONTENT), ("metadata", META))
-    return co_train([stack(seen, *w) for w in widths], seen["quality"].to_numpy(dtype=float), [stack(free, *w) for w in widths])
+    return co_train(_stack(seen), seen["quality"].to_numpy(dtype=float), _handing(pages.where("quality is null").drop("quality")), rounds)
 
 
 def _score(model: CoTrained | None, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                found = model.scores(*_view_rows(part)) if model else [np.ones(len(part))] * 3
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "content_score": found[0], "metadata_score": found[1], "score": found[2], "kept": found[2] >= threshold})
+            found = model.scores(*_stack(batch)) if model else [np.ones(len(batch))] * 3
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "content_score": found[0], "metadata_score": found[1], "score": found[2], "kept": found[2] >= threshold})
 
     return run
 
@@ -201,16 +232,17 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     values of their own.  Without labels of both classes every score is 1 and all is kept.
     Repeated rows get equal scores.
     """
-    return _pages(docs).mapInPandas(_score(train(docs, labels), threshold), SCORES)
+    rows = figures(docs)
+    return rows.mapInPandas(_score(train(rows, labels), threshold), SCORES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier keeps, with all their columns, without a shuffle."""
-    model = train(docs, labels)
+    model = train(figures(docs), labels)
 
     @F.pandas_udf("double")
     def chance(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        batch = pd.DataFrame({"text": text, "lang": lang, "source": source, "n_chars": n_chars})
-        return pd.Series(model.scores(*_view_rows(batch))[2] if model else np.ones(len(batch)))
+        batch = pd.DataFrame({"content": [content(t or "") for t in text], "lang": lang, "source": source, "n_chars": n_chars})
+        return pd.Series(model.scores(*_stack(batch))[2] if model else np.ones(len(batch)))
 
     return docs.where(chance(*[field(docs, n, k) for n, k in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))]) >= threshold)
