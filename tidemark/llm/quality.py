@@ -119,7 +119,7 @@ Handed = list[tuple[np.ndarray, np.ndarray]]
 def surest(models: list[Logistic], views: list[np.ndarray], order: np.ndarray, quota: tuple[int, int], free: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """View, label, rows and doubt: at most ``quota[label]`` free rows of each, the least doubtful first, ties by ``order``."""
     for view, (model, x) in enumerate(zip(models, views, strict=True)):
-        chance = model.chance(x)
+        chance = model.chance(x).round(9)  # last digits depend on how rows are batched
         for label, doubt in ((0, chance), (1, 1 - chance)):
             rows = np.flatnonzero(free & (doubt <= DOUBT))
             rows = rows[np.lexsort((order[rows], doubt[rows]))][: quota[label]]
