@@ -11,7 +11,7 @@ from tidemark.plans.config import (
     AnalyticsConfig, CohortSpec, ContributionSpec, DetectionConfig, RecoveryConfig, RecoveryPolicy, Selector, load_config,
 )
 from tidemark.sources import io
-from tidemark.sources.contracts import SOURCE_SPECS, TableSpec, conform, empty
+from tidemark.sources.contracts import SOURCE_SPECS, ForeignKey, TableSpec, conform, empty
 
 DAY = datetime(2024, 1, 1)
 
@@ -73,6 +73,43 @@ def test_time_order_rule_fires(spark):
     assert [(r["table_name"], r["violations"]) for r in bad] == [("refunds", 1)]
 
 
+def test_declared_keys_in_one_shuffle(spark):
+    specs = {
+        "parts": TableSpec("parts", "a string, b bigint", ("a", "b")),
+        "homes": TableSpec("homes", "home string", ("home",)),
+        "people": TableSpec("people", "person string, home string, second string", ("person",), (ForeignKey("home", "homes", "home"), ForeignKey("second", "homes", "home", True))),
+        "visits": TableSpec("visits", "visit string, person string", ("visit",), (ForeignKey("person", "people", "person"),), True),
+    }
+    rows = {
+        "parts": [("x", 1), ("x", 1), ("x", None), (None, 1), ("x", 2)],
+        "homes": [("h",), ("h",), ("g",), (None,)],
+        "people": [("p", "h", None), ("q", "z", "y"), ("r", "z", "g"), (None, None, "y"), (None, "g", "w")],
+        "visits": [],
+    }
+    tables = {n: spark.createDataFrame(r, specs[n].ddl) for n, r in rows.items()}
+    got = {(r["code"], r["table_name"], r["message"]): r["violations"] for r in rules.declared_key_rules(tables, specs).collect()}
+    assert got == {
+        ("primary_key.null", "parts", "['a', 'b'] has nulls"): 2, ("primary_key.duplicate", "parts", "['a', 'b'] repeats"): 1, ("table.empty", "parts", "table has no rows"): 0,
+        ("primary_key.null", "homes", "['home'] has nulls"): 1, ("primary_key.duplicate", "homes", "['home'] repeats"): 1, ("table.empty", "homes", "table has no rows"): 0,
+        ("primary_key.null", "people", "['person'] has nulls"): 2, ("primary_key.duplicate", "people", "['person'] repeats"): 1, ("table.empty", "people", "table has no rows"): 0,
+        ("foreign_key.unmatched", "people", "home"): 1, ("foreign_key.null", "people", "home"): 1, ("foreign_key.unmatched", "people", "second"): 2,
+        ("primary_key.null", "visits", "['visit'] has nulls"): 0, ("primary_key.duplicate", "visits", "['visit'] repeats"): 0,
+        ("foreign_key.unmatched", "visits", "person"): 0, ("foreign_key.null", "visits", "person"): 0,
+    }
+    split = [(r["code"], r["table_name"], r["message"], r["violations"]) for part in (rules.key_rules, rules.foreign_key_rules) for r in part(tables, specs).collect()]
+    assert {s[:3]: s[3] for s in split} == got
+
+
+def test_more_children_than_bits(spark, monkeypatch):
+    monkeypatch.setattr(rules, "DOMAIN_CHILDREN", 2)
+    specs = {"homes": TableSpec("homes", "home string", ("home",))} | {
+        f"t{i}": TableSpec(f"t{i}", "id bigint, home string", ("id",), (ForeignKey("home", "homes", "home"),)) for i in range(5)}
+    tables = {"homes": spark.createDataFrame([("h",), ("h",)], "home string")} | {
+        f"t{i}": spark.createDataFrame([(j, f"g{j}") for j in range(i)] + [(9, "h")], "id bigint, home string") for i in range(5)}
+    found = rules.issues(rules.declared_key_rules(tables, specs)).collect()
+    assert {(r["code"], r["table_name"]): r["violations"] for r in found} == {("primary_key.duplicate", "homes"): 1} | {("foreign_key.unmatched", f"t{i}"): i for i in range(1, 5)}
+
+
 def series_rows(spark, values):
     rows = [("checkout_sessions", "Checkout sessions", "checkout", "count", "sessions", None, "day", DAY + timedelta(days=i), DAY + timedelta(days=i + 1), "overall", 0,
              float(v), float(v), None, int(v), "ok") for i, v in enumerate(values)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tidemark.catalog.cube import (
 from tidemark.catalog.sources_facts import fact_prelude
 from tidemark.operators import checks, facts as fx, rules
 from tidemark.operators.registry import STANDARD_METRICS
-from tidemark.sources.contracts import DIMENSIONS
+from tidemark.sources.contracts import DIMENSIONS, SOURCE_SPECS
 
 C = Catalog()
 _ALL = tuple(fx.FACT_SOURCES)
@@ -157,20 +158,47 @@ def source_results(spark, sf):
     return shared(spark, sf, "source-rules", lambda: rules.validate_source(tables_of(spark, sf), *WINDOW))
 
 
-@C.add("g1_g18_source_rules")
+def _primary_key_sql(spec) -> list[str]:
+    keys, shown = ", ".join(spec.primary_key), str(list(spec.primary_key)).replace("'", "''")
+    missing = " OR ".join(f"{k} IS NULL" for k in spec.primary_key)
+    out = [f"SELECT 'primary_key.null' AS code, '{spec.name}' AS table_name, '{shown} has nulls' AS message, CAST(count(*) FILTER ({missing}) AS BIGINT) AS violations FROM s_{spec.name}",
+           f"SELECT 'primary_key.duplicate', '{spec.name}', '{shown} repeats', CAST(COALESCE(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM s_{spec.name} GROUP BY {keys})"]
+    if not spec.may_be_empty:
+        out.append(f"SELECT 'table.empty', '{spec.name}', 'table has no rows', CAST(count(*) = 0 AS BIGINT) FROM s_{spec.name}")
+    return out
+
+
+def _foreign_key_sql(spec) -> list[str]:
+    out = []
+    for fk in spec.foreign_keys:
+        orphan = f"SELECT DISTINCT {fk.column} AS k FROM s_{spec.name} WHERE {fk.column} IS NOT NULL EXCEPT SELECT {fk.target_column} FROM s_{fk.target_table}"
+        out.append(f"SELECT 'foreign_key.unmatched' AS code, '{spec.name}' AS table_name, '{fk.column}' AS message, CAST(count(*) AS BIGINT) AS violations FROM ({orphan})")
+        if not fk.nullable:
+            out.append(f"SELECT 'foreign_key.null', '{spec.name}', '{fk.column}', CAST(count(*) - count({fk.column}) AS BIGINT) FROM s_{spec.name}")
+    return out
+
+
+_TABLES_SQL = re.sub(r"\b(s_\w+) AS \(", r"\1 AS MATERIALIZED (", oracle_prelude(*SOURCE_SPECS))
+_PRIMARY_SQL = " UNION ALL ".join(x for spec in SOURCE_SPECS.values() for x in _primary_key_sql(spec))
+_FOREIGN_SQL = " UNION ALL ".join(x for spec in SOURCE_SPECS.values() for x in _foreign_key_sql(spec))
+
+
+@C.add("g1_g18_source_rules")  # its SQL is put together from those of the single rules, below
 def g_all(spark, sf):
     return source_results(spark, sf)
 
 
-@C.add("g3_key_rules", oracle_prelude("checkout_sessions", "order_items", "refunds") + " UNION ALL ".join(
-    f"""SELECT 'primary_key.duplicate' AS code, '{t}' AS table_name, CAST(count(*) - count(DISTINCT {k}) AS BIGINT) AS violations FROM s_{t}
-UNION ALL SELECT 'primary_key.null', '{t}', CAST(count(*) - count({k}) AS BIGINT) FROM s_{t}"""
-    for t, k in (("checkout_sessions", "session_id"), ("order_items", "order_item_id"), ("refunds", "refund_id"))))
+@C.add("g3_key_rules", _TABLES_SQL + f" SELECT code, table_name, violations FROM ({_PRIMARY_SQL})")
 def g3(spark, sf):
-    rows = source_results(spark, sf).where("code IN ('primary_key.duplicate', 'primary_key.null') AND table_name IN ('checkout_sessions', 'order_items', 'refunds')")
+    rows = source_results(spark, sf).where("code IN ('primary_key.duplicate', 'primary_key.null', 'table.empty')")
     return rows.select("code", "table_name", "violations")
 
 
+@C.add("g4_declared_foreign_keys", _TABLES_SQL + " " + _FOREIGN_SQL)
+def g4_declared(spark, sf):
+    return source_results(spark, sf).where("code IN ('foreign_key.unmatched', 'foreign_key.null')").select("code", "table_name", "message", "violations")
+
+
 @C.add("g3_duplicate_line_keys", "SELECT 'primary_key.duplicate' AS code, CAST(sum(n - 1) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
 def g3b(spark, sf):
     from tidemark.sources.contracts import TableSpec
@@ -225,8 +253,6 @@ def g10(spark, sf):
 
 def _expand_nulls(sql: str) -> str:
     """Write ``nulls_in(a, b)`` as a plain sum of null tests."""
-    import re
-
     return re.sub(r"nulls_in\(([^)]*)\)", lambda m: "(" + " + ".join(f"({c.strip()} IS NULL)::INT" for c in m.group(1).split(",")) + ")", sql)
 
 
@@ -265,3 +291,47 @@ SELECT 'window.before_start' AS code, count(*) FILTER (started_at < TIMESTAMP '2
 UNION ALL SELECT 'window.after_end', count(*) FILTER (started_at >= TIMESTAMP '2024-02-20') FROM s_checkout_sessions""")
 def g18(spark, sf):
     return rules.window_rules(tables_of(spark, sf), datetime(2024, 1, 5), datetime(2024, 2, 20)).select("code", "violations")
+
+
+def _of(*rules_: tuple[str, str, str]) -> str:
+    """Table and message of codes that have one rule each."""
+    return "(VALUES " + ", ".join(f"('{c}', '{t}', '{m}')" for c, t, m in rules_) + ") AS named(code, table_name, message)"
+
+
+def _body(name: str) -> str:
+    """The select of a rule's SQL, without the prelude that derives its tables."""
+    sql = C.oracles[name]
+    tables = {"g6_g9_commerce_rules": ("payment_attempts", "orders", "checkout_sessions", "order_items"), "g16_inventory_rules": ("inventory_snapshots",),
+              "g12_g15_operational_rules": ("shipments", "warehouse_scan_events", "orders", "checkout_sessions")}[name]
+    return sql.removeprefix(oracle_prelude(*tables))
+
+
+_STEPS = rules.STEP_TIMES
+_STAGE_SQL = " UNION ALL ".join(
+    f"""SELECT 'funnel.state' AS code, 'checkout_sessions' AS table_name, '{stage}' AS message, count(*) FILTER (stage_reached = '{stage}' AND (
+ {' OR '.join(f"{c} IS {'' if i < filled else 'NOT '}NULL" for i, c in enumerate(_STEPS))} OR {'abandonment_reason IS NOT NULL' if reason is None else f"COALESCE(abandonment_reason <> '{reason}', false)"})) AS violations FROM s_checkout_sessions"""
+    for stage, reason, filled in rules.STAGE_STATES)
+_KNOWN = ", ".join(f"'{stage}'" for stage, _, _ in rules.STAGE_STATES)
+_SINGLE_SQL = f"""SELECT code, table_name, message, violations FROM ({_body("g6_g9_commerce_rules")}
+UNION ALL {_body("g12_g15_operational_rules")}
+UNION ALL {_body("g16_inventory_rules")}
+UNION ALL SELECT 'funnel.stage_unknown', count(*) FILTER (stage_reached NOT IN ({_KNOWN})) FROM s_checkout_sessions
+UNION ALL SELECT 'commerce.campaign_attribution', count(*) FILTER ((channel IN ('organic', 'direct')) = (campaign_id IS NOT NULL)) FROM s_checkout_sessions
+UNION ALL SELECT 'baseline.conversion', CAST((SELECT count(*) FROM s_orders)::DOUBLE / (SELECT count(*) FROM s_checkout_sessions) NOT BETWEEN 0.45 AND 0.95 AS BIGINT)
+UNION ALL SELECT 'baseline.payment_approval', CAST(avg(approved::INT) NOT BETWEEN 0.70 AND 0.995 AS BIGINT) FROM s_payment_attempts
+UNION ALL SELECT 'baseline.fraud_rule', count(*) FILTER (fraud_rule_version <> '17') FROM s_payment_attempts
+UNION ALL SELECT 'baseline.late_delivery', CAST(COALESCE(avg(late::INT), 0) > 0.30 AS BIGINT) FROM s_shipments WHERE status = 'delivered'
+UNION ALL SELECT 'window.before_start', count(*) FILTER (started_at < TIMESTAMP '{WINDOW[0]}') FROM s_checkout_sessions
+UNION ALL SELECT 'window.after_end', count(*) FILTER (started_at >= TIMESTAMP '{WINDOW[1]}') FROM s_checkout_sessions) JOIN {_of(
+    *((c, t, "") for c, t in (
+        ("commerce.item_count", "orders"), ("commerce.item_total", "orders"), ("commerce.order_total", "orders"), ("commerce.payment_amount", "payment_attempts"),
+        ("fulfilment.scan_count", "shipments"), ("fulfilment.scan_lag", "warehouse_scan_events"), ("fulfilment.scan_context", "warehouse_scan_events"), ("commerce.order_attribution", "orders"),
+        ("inventory.balance", "inventory_snapshots"), ("inventory.feed_delta", "inventory_snapshots"), ("funnel.stage_unknown", "checkout_sessions"), ("commerce.campaign_attribution", "checkout_sessions"),
+        ("baseline.conversion", "checkout_sessions"), ("baseline.payment_approval", "payment_attempts"), ("baseline.fraud_rule", "payment_attempts"), ("baseline.late_delivery", "shipments"),
+        ("window.before_start", "checkout_sessions"), ("window.after_end", "checkout_sessions"))),
+    ("commerce.approved_order_count", "orders", "counts must be equal"), ("commerce.completed_order_count", "checkout_sessions", "counts must be equal"))} USING (code)"""
+_ORDER_SQL = " UNION ALL ".join(
+    f"SELECT 'temporal.order' AS code, '{t}' AS table_name, '{a} after {b}' AS message, count(*) FILTER ({a} > {b}) AS violations FROM s_{t}" for t, a, b in rules.TIME_ORDER)
+C.oracles["g1_g18_source_rules"] = _TABLES_SQL + f"""
+SELECT 'error' AS severity, code, table_name, message, CAST(violations AS BIGINT) AS violations
+FROM ({_PRIMARY_SQL} UNION ALL {_FOREIGN_SQL} UNION ALL {_ORDER_SQL} UNION ALL {_STAGE_SQL} UNION ALL {_SINGLE_SQL})"""

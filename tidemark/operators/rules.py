@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import count_if, whole_seconds_between
-from tidemark.operators.facts import repeated_keys, unmatched_keys
 from tidemark.sources.contracts import SOURCE_SPECS, TableSpec, schema_issues
 
 Tables = Mapping[str, DataFrame]
@@ -41,10 +40,6 @@ def _rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ))))
 
 
-def _counted(df: DataFrame, code: str, table: str, message: str = "", severity: str = "error") -> DataFrame:
-    return _rows(df, [Rule(code, table, F.count(F.lit(1)), message, severity)])
-
-
 # Pairs of columns that must be in time order.
 TIME_ORDER = (
     ("checkout_sessions", "started_at", "address_submitted_at"),
@@ -82,33 +77,116 @@ def presence(tables: Tables, specs: Mapping[str, TableSpec] = SOURCE_SPECS) -> l
     return found
 
 
+#: Children of one key domain whose bits share a group (a long holds 63 and the parent).
+DOMAIN_CHILDREN = 62
+
+
+@dataclass(frozen=True)
+class _KeyRule:
+    code: str
+    table: str
+    message: str
+    domain: int
+    slot: int
+
+
+class _Domains:
+    """Which columns of which tables are compared: slot 0 is the table that owns a key, the others refer to it."""
+
+    def __init__(self) -> None:
+        self.uses: dict[str, list[tuple[int, int, tuple[str, ...]]]] = {}
+        self.rules: list[_KeyRule] = []
+        self._ids: dict[tuple, int] = {}
+        self._children: dict[tuple, int] = {}
+
+    def owner(self, table: str, columns: tuple[str, ...], chunk: int = 0) -> int:
+        place = (table, columns, chunk)
+        if place not in self._ids:
+            self._ids[place] = len(self._ids)
+            self.uses.setdefault(table, []).append((self._ids[place], 0, columns))
+        return self._ids[place]
+
+    def child(self, table: str, column: str, target: str, target_column: str) -> tuple[int, int]:
+        key = (target, (target_column,))
+        chunk, slot = divmod(self._children.get(key, 0), DOMAIN_CHILDREN)
+        self._children[key] = self._children.get(key, 0) + 1
+        domain = self.owner(target, (target_column,), chunk)
+        self.uses.setdefault(table, []).append((domain, slot + 1, (column,)))
+        return domain, slot + 1
+
+    def add(self, *rule) -> None:
+        self.rules.append(_KeyRule(*rule))
+
+
+def _one_key(columns: tuple[str, ...]) -> Column:
+    """A key as text; a key of several columns is the JSON of all of them."""
+    return F.col(columns[0]).cast("string") if len(columns) == 1 else F.to_json(F.struct(*columns))
+
+
+def _key_uses(table: DataFrame, uses: Sequence[tuple[int, int, tuple[str, ...]]]) -> DataFrame:
+    def use(domain: int, slot: int, columns: tuple[str, ...]) -> Column:
+        missing = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in columns))
+        return F.struct(F.lit(domain).alias("domain"), F.lit(slot).alias("slot"), _one_key(columns).alias("key"), F.when(missing, F.lit(slot)).alias("missing"))
+
+    return table.select(F.inline(F.array(*(use(*u) for u in uses))))
+
+
+def _key_results(tables: Tables, specs: Mapping[str, TableSpec], primary: bool, foreign: bool) -> DataFrame:
+    """All declared keys in one scan of each table and one shuffle of (domain, key).
+
+    A group holds the rows of the owning table and one bit for each table that has the key,
+    so partial aggregation leaves one row per distinct key and task, however hot the key is.
+    """
+    domains = _Domains()
+    for name, spec in specs.items():
+        if primary:
+            own = domains.owner(name, tuple(spec.primary_key))
+            domains.add("primary_key.null", name, f"{list(spec.primary_key)} has nulls", own, 0)
+            domains.add("primary_key.duplicate", name, f"{list(spec.primary_key)} repeats", own, 0)
+            if not spec.may_be_empty:
+                domains.add("table.empty", name, "table has no rows", own, 0)
+        for fk in spec.foreign_keys if foreign else ():
+            domain, slot = domains.child(name, fk.column, fk.target_table, fk.target_column)
+            domains.add("foreign_key.unmatched", name, fk.column, domain, slot)
+            if not fk.nullable:
+                domains.add("foreign_key.null", name, fk.column, domain, slot)
+    spark = next(iter(tables.values())).sparkSession
+    declared = spark.createDataFrame(
+        [(r.code, r.table, r.message, r.domain, r.slot) for r in domains.rules], "code string, table_name string, message string, domain int, slot int")
+    if not domains.rules:
+        return declared.select(F.lit("error").alias("severity"), "code", "table_name", "message", F.lit(0).cast("bigint").alias("violations"))
+    uses = reduce(DataFrame.unionByName, (_key_uses(tables[name], used) for name, used in domains.uses.items()))
+    groups = uses.groupBy("domain", "key", "missing").agg(
+        F.count(F.lit(1)).alias("n"), count_if(F.col("slot") == 0).alias("owners"), F.expr("bit_or(shiftleft(1L, slot))").alias("bits"))
+    # One row per domain and set of tables that have a key.
+    patterns = groups.groupBy("domain", "missing", "bits").agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n"), F.sum("owners").alias("owners"), F.sum(F.greatest(F.col("owners") - 1, F.lit(0))).alias("repeats"))
+    code, has = F.col("code"), lambda bit: F.expr(f"(bits & shiftleft(1L, {bit})) <> 0")
+    absent = F.col("missing") == F.col("slot")
+    found = (
+        F.when(code == "primary_key.duplicate", F.col("repeats"))
+        .when(code == "table.empty", F.col("owners"))
+        .when(code.endswith(".null") & absent, F.col("n"))
+        .when((code == "foreign_key.unmatched") & F.col("missing").isNull() & has("slot") & ~has("0"), F.col("keys"))
+    )
+    total = F.coalesce(F.sum(found), F.lit(0)).cast("bigint")
+    return declared.join(patterns, "domain", "left").groupBy(F.lit("error").alias("severity"), "code", "table_name", "message").agg(
+        F.when(code == "table.empty", (total == 0).cast("bigint")).otherwise(total).alias("violations"))
+
+
 def key_rules(tables: Tables, specs: Mapping[str, TableSpec] = SOURCE_SPECS) -> DataFrame:
     """Non-empty tables and null or repeated primary keys."""
-    parts = []
-    for name, spec in specs.items():
-        df, keys = tables[name], list(spec.primary_key)
-        missing = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
-        rules = [Rule("primary_key.null", name, count_if(missing), f"{keys} has nulls")]
-        if not spec.may_be_empty:
-            rules.append(Rule("table.empty", name, (F.count(F.lit(1)) == 0).cast("bigint"), "table has no rows"))
-        parts.append(_rows(df, rules))
-        parts.append(_rows(repeated_keys(df, keys), [Rule("primary_key.duplicate", name, F.sum(F.col("n") - 1), f"{keys} repeats")]))
-    return reduce(DataFrame.unionByName, parts)
+    return _key_results(tables, specs, primary=True, foreign=False)
 
 
 def foreign_key_rules(tables: Tables, specs: Mapping[str, TableSpec] = SOURCE_SPECS) -> DataFrame:
     """Distinct child keys without a parent, and nulls where a parent is required."""
-    parts = []
-    for name, spec in specs.items():
-        required = [fk for fk in spec.foreign_keys if not fk.nullable]
-        if required:
-            parts.append(_rows(tables[name], [
-                Rule("foreign_key.null", name, count_if(F.col(fk.column).isNull()), fk.column) for fk in required
-            ]))
-        for fk in spec.foreign_keys:
-            orphan = unmatched_keys(tables[name], fk.column, tables[fk.target_table], fk.target_column)
-            parts.append(_counted(orphan, "foreign_key.unmatched", name, fk.column))
-    return reduce(DataFrame.unionByName, parts)
+    return _key_results(tables, specs, primary=False, foreign=True)
+
+
+def declared_key_rules(tables: Tables, specs: Mapping[str, TableSpec] = SOURCE_SPECS) -> DataFrame:
+    """``key_rules`` and ``foreign_key_rules`` from the same shuffle."""
+    return _key_results(tables, specs, primary=True, foreign=True)
 
 
 def time_order_rules(tables: Tables) -> DataFrame:
@@ -225,7 +303,7 @@ def window_rules(tables: Tables, start: datetime, end: datetime) -> DataFrame:
     ])
 
 
-RULE_SETS = (key_rules, foreign_key_rules, time_order_rules, commerce_rules, funnel_state_rules, operational_rules, inventory_rules, health_rules)
+RULE_SETS = (declared_key_rules, time_order_rules, commerce_rules, funnel_state_rules, operational_rules, inventory_rules, health_rules)
 
 
 def validate_source(tables: Tables, start: datetime | None = None, end: datetime | None = None, extra: Sequence[DataFrame] = ()) -> DataFrame:
