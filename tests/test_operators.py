@@ -1,5 +1,8 @@
 """Hand-computed inputs, mutation and leakage tests for the operators."""
 
+import json
+import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -214,3 +217,62 @@ def test_config_is_strict():
         load_config(AnalyticsConfig, {"nope": 1})
     loaded = load_config(DetectionConfig, {"selectors": [{"metric": "m", "time_grains": ["day"], "cohorts": ["overall"]}]})
     assert loaded.selectors[0].cohorts == ("overall",)
+
+
+def random_json(draw, depth):
+    kind = draw.choice(("object", "list", "leaf")) if depth else "leaf"
+    if kind == "leaf":
+        return draw.choice((1, 2.5, True, None, "", "id-%d" % draw.randrange(9), 'at /srv/"x" \n', "\u00e9[{", '["j-1", "j-2"]', "[broken"))
+    inner = [random_json(draw, depth - 1) for _ in range(draw.randrange(4))]
+    if kind == "list":
+        return inner
+    names = ("a", "x\"y", "My_Token", "path", "Out_Path", "note", "evidence_record_id", "evidence_record_ids", "evidence_record_ids_json", "audit_dir")
+    return dict(zip(draw.sample(names, len(inner)), inner, strict=True))
+
+
+def plainly_redacted(value):
+    if isinstance(value, list):
+        return [plainly_redacted(v) for v in value]
+    if isinstance(value, str):
+        return re.sub(search.PATH_PATTERN, "[PATH_REDACTED]", value)
+    if not isinstance(value, dict):
+        return value
+    kept = {k: v for k, v in value.items() if k not in ("path", "Out_Path", "audit_dir")}
+    return {k: "[REDACTED]" if k == "My_Token" else plainly_redacted(v) for k, v in kept.items()}
+
+
+def plainly_named(value):
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    out = set().union(*map(plainly_named, inner))
+    if isinstance(value, dict):
+        one, many, text = (value.get(f"evidence_record_id{end}") for end in ("", "s", "s_json"))
+        listed = list(many) if isinstance(many, list) else []
+        try:
+            parsed = json.loads(text) if isinstance(text, str) else None
+        except ValueError:
+            parsed = None
+        listed += parsed if isinstance(parsed, list) else []
+        out |= {one} if isinstance(one, str) else set()
+        out |= {v for v in listed if isinstance(v, str)}
+    return out
+
+
+def test_nested_json_equals_recursion(spark):
+    draw = random.Random(5)
+    values = [random_json(draw, draw.randrange(1, 10)) for _ in range(400)]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, j string")
+    got = {r["i"]: json.loads(r["o"]) for r in rows.select("i", search.redact_json("j").alias("o")).collect()}
+    assert got == {i: plainly_redacted(v) for i, v in enumerate(values)}
+    named = {r[0] for r in search.nested_refs(rows, "j").collect()}
+    # Numbers and truth values in lists of ids are ids as well, written as JSON.
+    assert {n for n in named if not re.fullmatch(r"[\[{].*|1|2\.5|true", n)} == {n for n in set().union(*map(plainly_named, values)) if not re.fullmatch(r"[\[{].*", n)}
+
+
+def test_nested_json_edges(spark):
+    deep = '{"a":' * 12 + '{"token":"t","token":"u"}' + "}" * 12
+    texts = [None, "", "see /a/b", "{broken", '{"token":1,"token":2}', deep, "[" * 5000 + "]" * 5000, '{"evidence_record_ids":[null,"e"]}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string")
+    got = [r["o"] for r in rows.orderBy("i").select(search.redact_json("j").alias("o")).collect()]
+    assert got == [None, "", "see [PATH_REDACTED]", search.UNREAD, search.UNREAD, search.UNREAD, search.UNREAD, texts[-1]]
+    assert [r[0] for r in search.nested_refs(rows, "j").collect()] == ["e"]
+    assert search.nested_refs(rows.limit(0), "j").count() == 0

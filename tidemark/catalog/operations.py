@@ -300,6 +300,31 @@ def k13(spark, sf):
     return base(spark, sf, "pages").select("page_id", search.redact_text("html").alias("html"))
 
 
+def nested_logs(spark, sf):
+    """One log record of JSON text per order: secrets, paths and evidence ids at several levels, every seventh one nested deep."""
+    orders = base(spark, sf, "orders")
+    key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    item = F.struct(F.concat(F.lit("order-"), key).alias("evidence_record_id"), F.lit("/srv/run").alias("output_path"), F.array(status, F.lit("shared")).alias("evidence_record_ids"))
+    detail = F.struct(key.alias("api_token"), F.concat(F.lit("see /var/"), key, F.lit(" now")).alias("note"), F.array(item).alias("items"),
+                      F.to_json(F.array(F.col("o_orderpriority"))).alias("evidence_record_ids_json"))
+    text = F.to_json(F.struct(F.col("o_orderkey").alias("id"), detail.alias("detail")))
+    deep = F.concat(F.lit('{"w":[' * 4), text, F.lit("]}" * 4))
+    return orders.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, deep).otherwise(text).alias("record"))
+
+
+@C.add("k12_nested_references", """SELECT unnest(['order-' || o_orderkey, o_orderstatus, o_orderpriority]) AS evidence_record_id FROM orders UNION SELECT 'shared' FROM orders""")
+def k12_nested(spark, sf):
+    return search.nested_refs(nested_logs(spark, sf), "record")
+
+
+_SHOWN = """'{"detail":{"api_token":"[REDACTED]","evidence_record_ids_json":"[\\"' || o_orderpriority || '\\"]","items":[{"evidence_record_id":"order-' || o_orderkey || '","evidence_record_ids":["' || o_orderstatus || '","shared"]}],"note":"see [PATH_REDACTED] now"},"id":' || o_orderkey || '}'"""
+
+
+@C.add("k13_nested_redaction", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN repeat('{{"w":[', 4) || {_SHOWN} || repeat(']}}', 4) ELSE {_SHOWN} END AS record FROM orders""")
+def k13_nested(spark, sf):
+    return nested_logs(spark, sf).select("o_orderkey", search.redact_json("record").alias("record"))
+
+
 def chained_log(spark, sf):
     """One hash-chained log per priority: a record per distinct order day, built link by link."""
     days = base(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("log_id"), F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))

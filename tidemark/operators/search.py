@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions.lineage import cut
 
@@ -163,10 +167,144 @@ def redact_text(column: str | Column) -> Column:
 def redact_map(column: str | Column) -> Column:
     """Mask secret-named keys, drop path fields and redact path-like values of a map."""
     source = F.col(column) if isinstance(column, str) else column
-    is_path = lambda k: F.lower(k).isin(*PATH_FIELDS, "path") | F.endswith(F.lower(k), F.lit("_path"))
-    is_secret = lambda k: reduce(lambda a, b: a | b, (F.contains(F.lower(k), F.lit(m)) for m in SECRET_MARKERS))
-    kept = F.map_filter(source, lambda k, v: ~is_path(k))
-    return F.transform_values(kept, lambda k, v: F.when(is_secret(k), F.lit("[REDACTED]")).otherwise(redact_text(v)))
+    kept = F.map_filter(source, lambda k, v: ~_is_path(k))
+    return F.transform_values(kept, lambda k, v: F.when(_is_secret(k), F.lit("[REDACTED]")).otherwise(redact_text(v)))
+
+
+_OBJECT, _ARRAY = "map<string,variant>", "array<variant>"
+UNREAD = '"[REDACTED]"'
+#: Levels that one column expression walks; plans nested much deeper overflow the analyser's stack.
+LEVELS = 4
+
+
+def json_depth(column: str | Column) -> Column:
+    """How deep objects and lists are nested in JSON text."""
+    brackets = F.regexp_replace(F.regexp_replace(column, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
+    step = lambda state, c: F.struct((state["now"] + c).alias("now"), F.greatest(state["most"], state["now"] + c).alias("most"))
+    signs = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    return F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+
+
+def _entries(value: Column) -> Column:
+    """Members of an object with their keys, or elements of a list without; null for anything else."""
+    members = F.transform(F.map_entries(F.try_variant_get(value, "$", _OBJECT)), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    elements = F.transform(F.try_variant_get(value, "$", _ARRAY), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    return F.coalesce(members, elements)
+
+
+def _is_path(key: Column) -> Column:
+    return F.lower(key).isin(*PATH_FIELDS, "path") | F.endswith(F.lower(key), F.lit("_path"))
+
+
+def _is_secret(key: Column) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(F.lower(key), F.lit(m)) for m in SECRET_MARKERS))
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _redacted(value):
+    """The rules of ``redact_json`` on a parsed value."""
+    if isinstance(value, dict):
+        kept = {k: v for k, v in sorted(value.items()) if not (k.lower() in (*PATH_FIELDS, "path") or k.lower().endswith("_path"))}
+        return {k: "[REDACTED]" if any(m in k.lower() for m in SECRET_MARKERS) else _redacted(v) for k, v in kept.items()}
+    if isinstance(value, list):
+        return [_redacted(v) for v in value]
+    return re.sub(PATH_PATTERN, "[PATH_REDACTED]", value) if isinstance(value, str) else value
+
+
+def _distinct(members: list[tuple]) -> dict:
+    if len({k for k, _ in members}) < len(members):
+        raise ValueError("a key repeats")
+    return dict(members)
+
+
+def _refuse(text: str):
+    raise ValueError(f"{text} is not JSON")
+
+
+@F.pandas_udf(StringType())
+def _redact_deep(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(_redacted(json.loads(text, object_pairs_hook=_distinct, parse_constant=_refuse)), separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return UNREAD
+
+    return texts.map(one)
+
+
+def redact_json(column: str | Column) -> Column:
+    """Mask secret-named keys, drop path fields and redact path-like strings at every level of JSON text.
+
+    Values of up to ``LEVELS`` levels are walked as VARIANT in one column expression;
+    a Python helper receives only the rows that are nested deeper.  Rows stay where they
+    are.  Keys come out sorted.  Objects and lists that are no valid JSON, repeat a key or are
+    nested beyond what the parsers read are masked whole; any other unreadable text is redacted
+    as text.  Null stays null.
+    """
+    def walk(value: Column, left: int) -> Column:
+        plain = F.to_json(value)
+        text = F.startswith(plain, F.lit('"'))
+        leaf = F.when(text, _quoted(redact_text(F.try_variant_get(value, "$", "string")))).otherwise(plain)
+        nested = F.startswith(plain, F.lit("{")) | F.startswith(plain, F.lit("["))
+        if not left:
+            return F.when(nested, F.lit(UNREAD)).otherwise(leaf)
+        kept = F.filter(_entries(value), lambda e: e["key"].isNull() | ~_is_path(e["key"]))
+
+        def shown(entry: Column) -> Column:
+            inner = F.when(F.coalesce(_is_secret(entry["key"]), F.lit(False)), F.lit(UNREAD)).otherwise(walk(entry["value"], left - 1))
+            return F.concat(F.when(entry["key"].isNotNull(), F.concat(_quoted(entry["key"]), F.lit(":"))).otherwise(""), inner)
+
+        inside = F.array_join(F.transform(kept, shown), ",")
+        return F.when(nested, F.concat(F.left(plain, F.lit(1)), inside, F.right(plain, F.lit(1)))).otherwise(leaf)
+
+    whole = F.col(column) if isinstance(column, str) else column
+    deep = json_depth(whole) > LEVELS
+    unread = F.when(F.regexp_like(whole, F.lit(r"^\s*[\[{]")), F.lit(UNREAD)).otherwise(redact_text(whole))
+    near = F.coalesce(walk(F.try_parse_json(whole), LEVELS), unread)
+    return F.when(deep, _redact_deep(F.when(deep, whole))).when(whole.isNotNull(), near)
+
+
+def nested_refs(df: DataFrame, column: str) -> DataFrame:
+    """Distinct evidence ids named at any level of JSON text, one ``evidence_record_id`` a row.
+
+    Ids are strings under ``evidence_record_id``, elements of a list under
+    ``evidence_record_ids`` and elements of the list written in a string under
+    ``evidence_record_ids_json``; elements that are null are no ids.  Text that is no valid
+    JSON names none.  The walk takes ``LEVELS`` levels at a time: what lies deeper
+    becomes rows of its own, so the number of passes follows from the deepest text.
+    """
+    shape = "array<struct<id:string,rest:string>>"
+    none = F.array().cast(shape)
+    found = lambda v: F.struct(v.alias("id"), F.lit(None).cast("string").alias("rest"))
+
+    def named(key: Column, value: Column) -> Column:
+        text = F.when(F.startswith(F.to_json(value), F.lit('"')), F.try_variant_get(value, "$", "string"))
+        many = F.when(key == "evidence_record_ids", value).when(key == "evidence_record_ids_json", F.try_parse_json(text))
+        listed = F.transform(F.try_variant_get(many, "$", _ARRAY), lambda v: F.try_variant_get(v, "$", "string"))
+        return F.transform(F.coalesce(F.when(key == "evidence_record_id", F.array(text)), listed, F.array().cast("array<string>")), found)
+
+    def walk(value: Column, left: int) -> Column:
+        if not left:
+            plain = F.to_json(value)
+            nested = F.startswith(plain, F.lit("{")) | F.startswith(plain, F.lit("["))
+            return F.when(nested, F.array(F.struct(F.lit(None).cast("string").alias("id"), plain.alias("rest")))).otherwise(none)
+        return F.coalesce(F.flatten(F.transform(_entries(value), lambda e: F.concat(named(e["key"], e["value"]), walk(e["value"], left - 1)))), none)
+
+    texts, parts = df.select(F.col(column).alias("rest")), []
+    readable = F.when(F.try_parse_json(column).isNotNull(), json_depth(column))
+    deepest = df.agg(F.coalesce(F.max(readable), F.lit(0))).first()[0]
+    for _ in range(0, deepest, LEVELS):
+        texts = texts.select(F.inline(walk(F.try_parse_json("rest"), LEVELS)))
+        parts.append(texts.select("id").where("id IS NOT NULL"))
+        texts = texts.select("rest").where("rest IS NOT NULL")
+    every = reduce(DataFrame.unionByName, parts) if parts else df.select(F.lit(None).cast("string").alias("id")).where("id IS NOT NULL")
+    return every.select(F.col("id").alias("evidence_record_id")).distinct()
 
 
 GENESIS = "0" * 64
