@@ -48,9 +48,17 @@ def l1(spark, sf):
     return rounded(posteriors(spark, sf).select("investigation_id", "hypothesis_id", "log_evidence_score", "posterior_probability"))
 
 
-@C.add("l2_l3_decisions", L_SQL + f""", d AS (SELECT investigation_id, CASE WHEN count(*) > 1 THEN -sum(post * ln(post)) / ln(count(*)) ELSE 0 END AS ent, max(post) FILTER (rk = 1) AS top, COALESCE(max(post) FILTER (rk = 2), 0) AS second, max(refs) FILTER (rk = 1) AS refs FROM k GROUP BY 1)
+# The same posteriors for investigations of any size: the softmax is shifted by the greatest score, evidence counts once by its id.
+_DECISION_SQL = (
+    L_SQL.replace("count(*) AS refs", "count(DISTINCT o_orderkey) AS refs")
+    .replace("exp(score) / sum(exp(score)) OVER (PARTITION BY investigation_id)", "w / sum(w) OVER (PARTITION BY investigation_id)")
+    .replace("AS post FROM h)", "AS post FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY investigation_id)) AS w FROM h))")
+)
+
+
+@C.add("l2_l3_decisions", _DECISION_SQL + f""", d AS (SELECT investigation_id, CASE WHEN count(*) > 1 THEN COALESCE(-sum(post * ln(post)) FILTER (post > 0), 0) / ln(count(*)) ELSE 0 END AS ent, max(post) FILTER (rk = 1) AS top, COALESCE(max(post) FILTER (rk = 2), 0) AS second, max(refs) FILTER (rk = 1) AS refs FROM k GROUP BY 1)
 SELECT investigation_id, {r('ent', 6, 'normalized_entropy')}, {r('top - second', 6, 'posterior_margin')}, {r('greatest(0, least(1, top * (1 - ent)))', 6, 'confidence')},
- CASE WHEN top >= 0.7 AND top - second >= 0.2 AND refs >= 2 AND ent <= 0.75 THEN 'concluded' ELSE 'abstained' END AS status FROM d""")
+ CASE WHEN round(top, 12) >= 0.7::DOUBLE AND round(top - second, 12) >= 0.2::DOUBLE AND refs >= 2 AND round(ent, 12) <= 0.75::DOUBLE THEN 'concluded' ELSE 'abstained' END AS status FROM d""")
 def l2(spark, sf):
     return rounded(hy.decide(posteriors(spark, sf)).select("investigation_id", "normalized_entropy", "posterior_margin", "confidence", "status"))
 

@@ -59,8 +59,10 @@ def decide(scored: DataFrame, policy: DecisionPolicy = DecisionPolicy()) -> Data
         "normalized_entropy": F.when(F.col("_n") > 1, F.col("_h") / F.log(F.col("_n").cast("double"))).otherwise(0.0),
         "posterior_margin": F.col("_top") - F.coalesce("_second", F.lit(0.0)),
     })
-    ok = ((F.col("_top") >= policy.minimum_top_posterior) & (F.col("posterior_margin") >= policy.minimum_margin)
-          & (F.col("distinct_evidence") >= policy.minimum_distinct_evidence) & (F.col("normalized_entropy") <= policy.maximum_normalized_entropy))
+    # As for ranks: a value on its limit must not be decided by the order of summation.
+    exact = lambda c: F.round(c, 12)
+    ok = ((exact("_top") >= policy.minimum_top_posterior) & (exact("posterior_margin") >= policy.minimum_margin)
+          & (F.col("distinct_evidence") >= policy.minimum_distinct_evidence) & (exact("normalized_entropy") <= policy.maximum_normalized_entropy))
     return rows.select(
         "investigation_id", "normalized_entropy", "posterior_margin", "distinct_evidence",
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_top") * (1.0 - F.col("normalized_entropy")))).alias("confidence"),
