@@ -72,3 +72,10 @@ def test_quantiles_read_the_fact_once(spark):
 def test_quality_parts_make_up_the_quality_table():
     config = AnalyticsConfig()
     assert list(checks.quality_parts(*[None] * 7, config)) == ["source", "facts", "metrics", "cohorts", "funnel", "contributions"]
+
+
+def test_fact_checks_come_fact_by_fact(spark):
+    tables = tables_of(spark, SF)
+    parts = checks.fact_check_parts(tables, {n: kept_fact(spark, SF, n) for n in ("pipelines", "deployments")}, resolve(["deployment_count"]))
+    rows = parts["deployments"]().collect()
+    assert list(parts) == ["pipelines", "deployments"] and {r["check_name"].split(".")[1] for r in rows} == {"deployments"} and len(rows) == 4
