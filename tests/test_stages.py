@@ -5,7 +5,8 @@ from datetime import datetime
 import pytest
 
 from tidemark.catalog.common import tables_of
-from tidemark.catalog.cube import daily_cube, kept_fact
+from tidemark.catalog import anomalies, cube
+from tidemark.catalog.cube import daily_cube, kept_fact, narrow_fact
 from tidemark.operators import checks, facts
 from tidemark.operators.metrics import metric_observations
 from tidemark.operators.registry import REGISTRY, resolve
@@ -79,3 +80,37 @@ def test_fact_checks_come_fact_by_fact(spark):
     parts = checks.fact_check_parts(tables, {n: kept_fact(spark, SF, n) for n in ("pipelines", "deployments")}, resolve(["deployment_count"]))
     rows = parts["deployments"]().collect()
     assert list(parts) == ["pipelines", "deployments"] and {r["check_name"].split(".")[1] for r in rows} == {"deployments"} and len(rows) == 4
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_derived_tables_are_read_from_the_published_stages_before_them(spark):
+    tables = tables_of(spark, f"{SF}/.")
+    assert joins(tables["checkout_sessions"]) == joins(tables["payment_attempts"]) == joins(tables["warehouse_scan_events"]) == 0
+    assert shared.published(spark, f"{SF}/.", "s_session_base").count() == tables["checkout_sessions"].count()
+
+
+def test_narrow_facts_leave_out_unread_lookups_only(spark):
+    own, whole = f"{SF}/", facts.FACT_BUILDERS
+    for name, columns in (("orders", {"ordered_at", "region", "total_amount"}), ("orders", {"order_id", "device", "has_return"}),
+                          ("payments", {"attempted_at", "issuer", "approved"}), ("payments", {"payment_attempt_id", "region", "loyalty_tier", "declined"}),
+                          ("checkout", {"session_id", "region", "has_order"}), ("checkout", {"session_id", "seller_id", "payment_started"}),
+                          ("shipments", {"shipment_id", "region", "on_time"}), ("scans", {"scan_event_id", "device"}),
+                          ("order_items", {"order_item_id", "ordered_at", "quantity"}), ("returns", {"return_id", "region", "refund_completed"})):
+        narrow, plain = narrow_fact(spark, own, name, frozenset(columns)), whole[name](tables_of(spark, own)).select(*sorted(columns))
+        assert narrow.columns == sorted(columns) and narrow.exceptAll(plain).isEmpty() and plain.exceptAll(narrow).isEmpty()
+    tables = tables_of(spark, own)
+    assert joins(facts.order_context(tables, None, frozenset({"ordered_at", "region", "total_amount"}))) == 0
+    assert joins(facts.payments_fact(tables, None, frozenset({"region"}))) == 1
+    assert shared.published(spark, own, "fact-orders") is None
+
+
+def test_selected_cubes_hold_what_the_whole_cube_holds(spark):
+    wanted = [("payment_decline_rate", "day", "region"), ("payment_latency_p95_ms", "day", "overall"), ("payment_approval_rate", "hour", "overall")]
+    some = cube.selected_cube(spark, SF, "some", wanted, anomalies.COHORTS)
+    every = cube.published_cube(spark, SF, "every", [w[0] for w in wanted], anomalies.COHORTS)
+    picked = lambda df: df.where(" OR ".join(f"(metric_name = '{m}' AND time_grain = '{g}' AND cohort_name = '{c}')" for m, g, c in wanted))
+    assert picked(some).exceptAll(picked(every)).isEmpty() and picked(every).exceptAll(picked(some)).isEmpty()
+    assert picked(some).count() > 0 and some.where("time_grain = 'hour' AND cohort_name = 'region'").isEmpty()

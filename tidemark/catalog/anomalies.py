@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.catalog.common import Catalog, base, r, rounded, shared
-from tidemark.catalog.cube import cube_sql, materialized, published_cube
+from tidemark.catalog.cube import cube_sql, materialized, selected_cube
 from tidemark.catalog.sources_facts import fact_prelude
 from tidemark.functions import tails
 from tidemark.functions.columns import period_start
@@ -43,7 +43,8 @@ CONFIG = DetectionConfig(
 
 
 def observations(spark, sf):
-    return published_cube(spark, sf, "cube-detect", METRICS, COHORTS)
+    wanted = [(s.metric, grain, cohort) for s in CONFIG.selectors for grain in s.time_grains for cohort in s.cohorts]
+    return selected_cube(spark, sf, "cube-detect", wanted, COHORTS)
 
 
 def series(spark, sf):
