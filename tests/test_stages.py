@@ -5,9 +5,9 @@ from datetime import datetime
 import pytest
 
 from tidemark.catalog.common import tables_of
-from tidemark.catalog import anomalies, cube
+from tidemark.catalog import anomalies, cube, quality
 from tidemark.catalog.cube import daily_cube, kept_fact, narrow_fact
-from tidemark.operators import checks, facts
+from tidemark.operators import checks, facts, rules
 from tidemark.operators.metrics import metric_observations
 from tidemark.operators.registry import REGISTRY, resolve
 from tidemark.plans import shared
@@ -114,3 +114,10 @@ def test_selected_cubes_hold_what_the_whole_cube_holds(spark):
     picked = lambda df: df.where(" OR ".join(f"(metric_name = '{m}' AND time_grain = '{g}' AND cohort_name = '{c}')" for m, g, c in wanted))
     assert picked(some).exceptAll(picked(every)).isEmpty() and picked(every).exceptAll(picked(some)).isEmpty()
     assert picked(some).count() > 0 and some.where("time_grain = 'hour' AND cohort_name = 'region'").isEmpty()
+
+
+def test_rule_sets_are_published_on_their_own(spark):
+    own = f"{SF}//"
+    rows = quality.rule_set(spark, own, rules.funnel_state_rules)
+    assert {r["code"] for r in rows.select("code").collect()} == {"funnel.state", "funnel.stage_unknown", "commerce.campaign_attribution"}
+    assert shared.published(spark, own, "source-declared_key_rules") is None and shared.published(spark, own, "s_orders") is None

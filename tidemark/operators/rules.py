@@ -7,7 +7,7 @@ count; ``issues`` keeps the rows that have any.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -306,15 +306,26 @@ def window_rules(tables: Tables, start: datetime, end: datetime) -> DataFrame:
 RULE_SETS = (declared_key_rules, time_order_rules, commerce_rules, funnel_state_rules, operational_rules, inventory_rules, health_rules)
 
 
+def rule_parts(tables: Tables, start: datetime | None = None, end: datetime | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """The rules by the set they belong to, so that each set can be planned, written and read on its own."""
+    parts = {rules.__name__: lambda rules=rules: rules(tables) for rules in RULE_SETS}
+    if start is not None and end is not None:
+        parts["window_rules"] = lambda: window_rules(tables, start, end)
+    return parts
+
+
+def structure_rules(tables: Tables) -> DataFrame | None:
+    """``presence`` as rule rows, if there are any."""
+    found = presence(tables)
+    return next(iter(tables.values())).sparkSession.createDataFrame(found, RULE_DDL) if found else None
+
+
 def validate_source(tables: Tables, start: datetime | None = None, end: datetime | None = None, extra: Sequence[DataFrame] = ()) -> DataFrame:
     """All rules with their violation counts (``extra`` adds caller-made rule rows)."""
-    structural = presence(tables)
-    spark = next(iter(tables.values())).sparkSession
-    parts = [rules(tables) for rules in RULE_SETS] + list(extra)
-    if start is not None and end is not None:
-        parts.append(window_rules(tables, start, end))
-    if structural:
-        parts.append(spark.createDataFrame(structural, RULE_DDL))
+    structural = structure_rules(tables)
+    parts = [build() for build in rule_parts(tables, start, end).values()] + list(extra)
+    if structural is not None:
+        parts.append(structural)
     return reduce(DataFrame.unionByName, parts)
 
 
