@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import pandas as pd
 import pytest
 
 from tidemark.llm import exact_dedup, near_dedup, substring
@@ -114,6 +115,18 @@ def test_near_with_null_ids(spark):
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(None, 3, False), (3, 3, True), (None, None, True)}
 
 
+def test_near_workers_hold_the_sets_of_few_texts_at_a_time():
+    texts = [f"{i} a b c d e f" if i % 9 else None for i in range(1200)]
+    batch = pd.DataFrame({"doc_id": range(1200), "row": range(1200), "node": [str(i).encode() for i in range(1200)], "text": texts})
+    settings = near_dedup.Settings(words=3)
+    frames = list(near_dedup._features(settings)(iter([batch, batch[:1]])))
+    assert max(map(len, frames)) < 300 and pd.concat(frames)["doc_id"].tolist() == [*range(1200), 0]
+    assert [n for f in frames for n in f["n"]] == [len(near_dedup.shingles(t, 3)) for t in [*texts, texts[0]]]
+    frames = list(near_dedup._sets(settings)(iter([batch])))
+    assert max(map(len, frames)) < 300 and pd.concat(frames)["node"].tolist() == batch["node"].tolist()
+    assert all((x.view("uint64") == near_dedup.shingles(t, 3)).all() for x, t in zip((x for f in frames for x in f["items"]), texts))
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
     got = {tuple(r) for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -25,6 +25,8 @@ from tidemark.llm.components import connected
 ship(__name__)
 
 FEATURES = "doc_id long, row long, n long, node binary, signature array<int>"
+#: Texts that a worker holds the sets or signatures of at a time.
+SLICE = 250
 
 
 @dataclass(frozen=True)
@@ -91,10 +93,17 @@ def _functions(settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     return a * np.uint64(2) + np.uint64(1), b
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All rows in frames of at most ``SLICE`` rows, so that a worker's results do not add up over an Arrow batch."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.iloc[at : at + SLICE]
+
+
 def _features(settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _functions(settings)
-        for batch in batches:
+        for batch in _slices(batches):
             counts, nodes, signatures = [], [], []
             for text in batch["text"]:
                 items = shingles(text, settings.words)
@@ -109,7 +118,7 @@ def _features(settings: Settings):
 def _sets(settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _functions(settings)
-        for batch in batches:
+        for batch in _slices(batches):
             items = [shingles(t, settings.words) for t in batch["text"]]
             signatures = [_minima(x, a, b) for x in items]
             yield pd.DataFrame({"node": batch["node"], "items": [x.view(np.int64) for x in items], "signature": signatures, "marks": [s.astype(np.uint8).tobytes() for s in signatures]})
