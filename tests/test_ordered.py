@@ -1,13 +1,19 @@
 """Range-split running aggregates equal single-window ones on skewed groups."""
 
+from functools import partial
+from unittest import mock
+
 import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import group_quantiles, running
+from tidemark.catalog.verdicts import RECOVERY
+from tidemark.functions.ordered import cut_points, group_quantiles, running
+from tidemark.operators import recovery
 from tidemark.operators.causal import match_nearest
 from tidemark.operators.detection import bh_fdr
+from tidemark.operators.recovery import lifecycle
 from tidemark.operators.survival import concordance, fit_cox, kaplan_meier
 
 
@@ -29,6 +35,20 @@ def test_running_sum_min(skewed, descending):
     assert got.select(columns).exceptAll(want.select(columns)).isEmpty() and got.count() == want.count()
 
 
+def test_groups_smaller_than_a_range_are_not_cut(spark):
+    at = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id)")
+    decision = F.expr("element_at(array('recovered', 'failed', 'insufficient_data'), cast(pmod(hash(id), 3) + 1 as int))")
+    reports = spark.range(2000).select((F.col("id") % 40).alias("incident_id"), at.alias("evaluated_at"), decision.alias("decision"), (F.col("id") % 97 == 0).alias("severe_guardrail_breach"))
+    whole = lifecycle(reports, RECOVERY)
+    rows = {}
+    for size in (49, 50):  # every incident has 50 reports
+        with mock.patch.object(recovery, "cut_points", partial(cut_points, rows_per_piece=size)):
+            rows[size] = lifecycle(reports, RECOVERY)
+        assert rows[size].exceptAll(whole).isEmpty() and whole.exceptAll(rows[size]).isEmpty()
+    joins = {size: df._jdf.queryExecution().optimizedPlan().toString().count("Join") for size, df in rows.items()}
+    assert joins[49] > 0 and joins[50] == 0, joins
+
+
 def test_group_quantiles(skewed):
     got = group_quantiles(skewed, ["g"], "v", "n", {"a": 0.5, "b": 0.95}, rows_per_piece=100)
     plain = skewed.withColumn("v2", F.explode(F.array_repeat("v", F.col("n").cast("int")))).groupBy("g").agg(F.percentile("v2", 0.5).alias("x"), F.percentile("v2", 0.95).alias("y"))

@@ -2,9 +2,9 @@
 
 A SQL window with ``partitionBy(group)`` sorts a complete group inside one task.
 That is fine for bounded groups but not when one group may hold a third of the
-table.  Here a group is additionally cut into value ranges: every range is
-summed on its own, the short list of range totals is accumulated per group, and
-the offsets are joined back.  The cut points come from Spark's range partitioning of the
+table.  Here groups are additionally cut into value ranges if one is larger than
+a range: every range is summed on its own, the short list of range totals is
+accumulated per group, and the offsets are joined back.  The cut points come from Spark's range partitioning of the
 order column over all rows, so one (group, range) piece holds about ``rows_per_piece`` rows
 whatever the group sizes are; only rows of one equal value stay together, and callers reduce
 those to one row with a count first.
@@ -25,16 +25,21 @@ LEAST_PIECES = 1
 PIECE = "_piece"
 
 
-def cut_points(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE, least: int = LEAST_PIECES) -> list[float]:
+def cut_points(
+    df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE, least: int = LEAST_PIECES, keys: Sequence[str] = ()
+) -> list[float]:
     """Upper ends of even ranges of ``order``, as Spark's range partitioning places them.
 
     The number of ranges follows the number of rows without a cap; a table of one range needs no
-    cut.  The driver receives one number per range.
+    cut, nor does one where no group of ``keys`` has more rows than a range.  The driver receives
+    one number per range.
     """
     values = df.select(F.col(order).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
     pieces = max(least, -(-df.count() // max(rows_per_piece, 1)))
     if pieces <= 1:
         return []
+    if keys and df.groupBy(*keys).count().agg(F.max("count")).first()[0] <= rows_per_piece:
+        return []
     ends = values.repartitionByRange(pieces, "_v").groupBy(F.spark_partition_id().alias("_p")).agg(F.max("_v").alias("end"))
     return sorted({row["end"] for row in ends.collect() if math.isfinite(row["end"])})
 
@@ -84,7 +89,7 @@ def running(
     Rows should be unique on (keys, order, tie_breakers) for a defined result.
     """
     if cuts is None:
-        cuts = cut_points(df, order, rows_per_piece)
+        cuts = cut_points(df, order, rows_per_piece, keys=keys)
     staged = with_piece(df, order, cuts)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     local = (

@@ -210,13 +210,13 @@ def lifecycle(reports: DataFrame, config: RecoveryConfig, *, key: str = "inciden
     """Status, failure counter and trigger after each report of each incident.
 
     The transition rules unroll to running counts (failures since the last verified
-    recovery, first reopening), taken in time ranges, so an incident with a large
-    share of all reports is still split.
+    recovery, first reopening).  They are taken in time ranges if an incident has more
+    reports than a range, so that one with a large share of all reports is still split.
     """
     one = lambda c: c.cast("bigint")
     decided = F.col("decision")
     rows = reports.withColumns({"_t": micros(at), "_ok": one(decided == "recovered"), "_bad": one(~decided.isin("recovered", "insufficient_data"))}).withColumn("_one", F.lit(1).cast("bigint"))
-    cuts = cut_points(rows, "_t")
+    cuts = cut_points(rows, "_t", keys=[key])
     rows = running(rows, [key], "_t", {"generation": ("sum", "_one"), "_oks": ("sum", "_ok"), "_bads": ("sum", "_bad")}, cuts=cuts)
     rows = rows.withColumns({
         "_bads_at_ok": F.when(F.col("_ok") == 1, F.col("_bads")).otherwise(F.lit(0)),
