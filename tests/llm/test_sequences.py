@@ -155,3 +155,11 @@ def test_added_kinds_and_scores(spark):
 def test_a_very_long_run_of_digits_is_searched(spark):
     docs = spark.createDataFrame([(1, "7" * 300_000 + " a@b.co"), (2, "a." * 150_000 + "@b")], "doc_id long, text string").repartition(1)
     assert {r.doc_id: [s.kind for s in r.spans] for r in private.find(docs).collect()} == {1: ["email"], 2: []}
+
+
+def test_second_doubling_knows_its_rounds(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, 1) for i in range(20)], "id long, parent long, v long")
+    asked, ask = [], type(nodes).isEmpty
+    monkeypatch.setattr(type(nodes), "isEmpty", lambda df: asked.append(1) or ask(df))
+    assert {r.id: r.v for r in forest.rollup(nodes, ["v"], 8).collect()} == {i: 20 - i for i in range(20)}
+    assert len(asked) == 6  # five rounds and the end, in the first pass only

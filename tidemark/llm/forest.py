@@ -27,14 +27,17 @@ ship(__name__)
 BOUND, RANGE, FEW = 20_000, 65_536, 10_000
 
 
-def _doubled(state: DataFrame, value: str, down: bool) -> DataFrame:
-    """Sums of ``value`` over all ancestors (``down``) or over all descendants, the node itself included.
+def _doubled(state: DataFrame, value: str, down: bool, rounds: int | None = None) -> tuple[DataFrame, int]:
+    """Sums of ``value`` over all ancestors (``down``) or over all descendants, the node itself included, and the number of rounds.
+
+    ``rounds``, where known from the same forest, saves asking after each round whether a node is left.
 
     ``far`` is the ancestor 1, 2, 4, ... edges up.  A node with very many children is a hot key
     of the join; both its sides are shuffled from written rows, so Spark splits that key at run time.
     The merge hints keep tables that grow with the input from being broadcast through the driver.
     """
-    while not state.where("far IS NOT NULL").isEmpty():
+    done = 0
+    while done < rounds if rounds is not None else not state.where("far IS NOT NULL").isEmpty():
         above = state.select(F.col("id").alias("above"), F.col("far").alias("next"), F.col(value).alias("high"))
         linked = state.where("far IS NOT NULL")
         stepped = linked.join(above.hint("merge"), F.col("far") == F.col("above"))
@@ -45,13 +48,13 @@ def _doubled(state: DataFrame, value: str, down: bool) -> DataFrame:
         if not down:
             more = linked.groupBy(F.col("far").alias("above")).agg(F.sum(value).alias("more"))
             stepped = stepped.join(more.hint("merge"), F.col("id") == F.col("above"), "left").withColumn(value, F.col(value) + F.coalesce("more", F.lit(0)))
-        state = cut(stepped.select(*state.columns))
-    return state.drop("far")
+        state, done = cut(stepped.select(*state.columns)), done + 1
+    return state.drop("far"), done
 
 
 def placed(nodes: DataFrame, bound: int = BOUND) -> DataFrame:
     """Every node with ``pre`` (place in pre-order from 1), ``up`` (that of its parent, 0 at the top) and ``full`` (subtree size)."""
-    sizes = _doubled(nodes.select("id", F.col("parent").alias("far"), "parent", F.lit(1).cast("long").alias("full")), "full", False)
+    sizes, rounds = _doubled(nodes.select("id", F.col("parent").alias("far"), "parent", F.lit(1).cast("long").alias("full")), "full", False)
     widest = sizes.groupBy("parent").count().agg(F.max("count")).first()[0] or 0
     # Children of one node are summed in buckets of about ``bound``.
     dealt = sizes.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(-(-widest // bound) or 1)))
@@ -62,17 +65,16 @@ def placed(nodes: DataFrame, bound: int = BOUND) -> DataFrame:
     dealt = dealt.withColumn("inside", F.coalesce(inside, F.lit(0)))
     offsets = dealt.join(buckets.hint("merge"), F.col("parent").eqNullSafe(F.col("p")) & (F.col("bucket") == F.col("b")))
     offsets = cut(offsets.select("id", F.col("parent").alias("far"), "full", (1 + F.col("inside") + F.col("before")).alias("own"), (1 + F.col("inside") + F.col("before")).alias("pre")))
-    return _doubled(offsets, "pre", True).select("id", "pre", (F.col("pre") - F.col("own")).alias("up"), "full")
+    return _doubled(offsets, "pre", True, rounds)[0].select("id", "pre", (F.col("pre") - F.col("own")).alias("up"), "full")
 
 
-def _split(active: DataFrame, values: Sequence[str]) -> DataFrame:
-    """One level: every component loses its centroid, whose total goes to the path above it."""
+def _split(active: DataFrame, values: Sequence[str], few: bool) -> DataFrame:
+    """One level: every component loses its centroid, whose total goes to the path above it; ``few`` bounds the components for a broadcast."""
     part = lambda name: F.struct(F.col("pre"), F.col("full"), F.col("size")).getField(name)
     path = 2 * F.col("size") >= F.col("m")
     centre = active.where(path).groupBy("comp").agg(F.max(F.struct(part("pre").alias("pre"), part("full").alias("full"), part("size").alias("size"))).alias("c"))
-    centre = cut(centre)
     # One row per component of over ``bound`` nodes.
-    small = F.broadcast if centre.count() <= FEW else (lambda x: x)
+    small = F.broadcast if few else (lambda x: x)
     joined = active.join(small(centre), "comp")
     below = (F.col("pre") >= F.col("c.pre")) & (F.col("pre") < F.col("c.pre") + F.col("c.full"))
     totals = cut(joined.where(below).groupBy("comp", "c").agg(*[F.sum(v).alias(f"below_{v}") for v in values]))
@@ -158,7 +160,7 @@ def rollup(nodes: DataFrame, values: Sequence[str], bound: int = BOUND) -> DataF
     active = rows.unionByName(top).select("*", *[F.lit(0).cast("long").alias(f"t_{v}") for v in values], F.lit(0).cast("long").alias("comp"), F.lit(total + 1).cast("long").alias("m"))
     ready, largest = [], total + 1
     while largest > bound:
-        level = _split(active, values)
+        level = _split(active, values, (total + 1) // bound <= FEW)
         ready.append(level.where(f"size = 0 OR m <= {bound}"))
         active = level.where(f"size > 0 AND m > {bound}")
         largest = active.agg(F.max("m")).first()[0] or 0
