@@ -14,6 +14,7 @@ from tidemark.operators import recovery
 from tidemark.operators.causal import match_nearest
 from tidemark.operators.detection import bh_fdr
 from tidemark.operators.recovery import lifecycle
+from tidemark.operators import survival
 from tidemark.operators.survival import concordance, fit_cox, kaplan_meier
 
 
@@ -102,3 +103,13 @@ def test_matching_waves_equal_one_wave(spark):
     one = {tuple(r) for r in match_nearest(df, 0.2).collect()}
     many = {tuple(r) for r in match_nearest(df, 0.2, rows_per_wave=40).collect()}
     assert one == many and len({c for _, c in one}) == len(one)
+
+
+def test_wide_risk_sets_get_shorter_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b), float(c), bool(e)) for a, b, c, e in zip(rng.normal(size=80), rng.normal(size=80), rng.uniform(1, 9, 80), rng.random(80) < 0.7)]
+    df = spark.createDataFrame(rows, "x double, y double, t double, e boolean")
+    whole = fit_cox(df, ["x", "y"], "t", "e")
+    monkeypatch.setattr(survival, "ROWS_PER_PIECE", 80)
+    assert survival.sums_per_time(13, True) == 105 and len(survival._risk_cuts(df, "t", 2, True)) > 3
+    assert np.allclose(fit_cox(df, ["x", "y"], "t", "e").coefficients, whole.coefficients, atol=1e-9)

@@ -99,13 +99,9 @@ def running(
     )
     whole = W.partitionBy(*keys, PIECE)
     if not cuts:
-        out = staged
-        for name, (kind, source) in measures.items():
-            out = out.withColumn(name, _COMBINE[kind](source).over(local))
-        for name in totals:
-            kind, source = measures[name]
-            out = out.withColumn(f"{name}_total", _COMBINE[kind](source).over(whole))
-        return out.drop(PIECE)
+        wanted = {name: _COMBINE[kind](source).over(local) for name, (kind, source) in measures.items()}
+        wanted |= {f"{name}_total": _COMBINE[measures[name][0]](measures[name][1]).over(whole) for name in totals}
+        return staged.withColumns(wanted).drop(PIECE)
 
     pieces = staged.groupBy(*keys, PIECE).agg(
         *(_COMBINE[kind](source).alias(f"_p_{name}") for name, (kind, source) in measures.items())
@@ -125,15 +121,12 @@ def running(
         ),
         *(_COMBINE[measures[n][0]](f"_p_{n}").over(group).alias(f"{n}_total") for n in totals),
     )
-    out = staged
-    for name, (kind, source) in measures.items():
-        out = out.withColumn(f"_l_{name}", _COMBINE[kind](source).over(local))
+    out = staged.withColumns({f"_l_{name}": _COMBINE[kind](source).over(local) for name, (kind, source) in measures.items()})
     match = F.col(PIECE) == F.col("_k_piece")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     out = out.join(offsets, match, "left")
-    for name, (kind, _) in measures.items():
-        out = out.withColumn(name, _merge(kind, F.col(f"_o_{name}"), F.col(f"_l_{name}")))
+    out = out.withColumns({name: _merge(kind, F.col(f"_o_{name}"), F.col(f"_l_{name}")) for name, (kind, _) in measures.items()})
     drop = [PIECE, "_k_piece", *(f"_k_{k}" for k in keys)]
     drop += [f"_o_{n}" for n in measures] + [f"_l_{n}" for n in measures]
     return out.drop(*drop)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import count_if
 from tidemark.functions.lineage import cut
-from tidemark.functions.ordered import cut_points, running
+from tidemark.functions.ordered import ROWS_PER_PIECE, cut_points, running
 from tidemark.functions.tails import normal_two_sided
 
 
@@ -71,6 +71,16 @@ def linear(features: Sequence[str], beta) -> F.col:
     return F.least(F.greatest(total, F.lit(-30.0)), F.lit(30.0))
 
 
+def sums_per_time(p: int, second: bool) -> int:
+    """Suffix sums that one time of a risk set carries for ``p`` features."""
+    return 1 + p + second * p * (p + 1) // 2
+
+
+def _risk_cuts(df: DataFrame, duration: str, p: int, second: bool) -> list[float]:
+    """Time ranges of the risk sets; a task holds whole ranges, so wide rows get shorter ones."""
+    return cut_points(df, duration, max(ROWS_PER_PIECE // sums_per_time(p, second), 1))
+
+
 def _risk_sets(df: DataFrame, features: Sequence[str], beta, duration: str, event: str, cuts, second: bool) -> DataFrame:
     """Per distinct time: event counts, event sums and suffix sums over the risk set."""
     p = len(features)
@@ -95,7 +105,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], duration: str, event: str, *
     """
     p = len(features)
     data = cut(df.select(duration, event, *(F.col(f).cast("double").alias(f) for f in features)))
-    cuts = cut_points(data, duration)
+    cuts = _risk_cuts(data, duration, p, True)
     beta, converged, step_no = np.zeros(p), False, 0
     information = np.eye(p)
     for step_no in range(1, iterations + 1):
@@ -122,7 +132,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], duration: str, event: str, *
 
 def baseline_hazard(df: DataFrame, fit: CoxFit, duration: str, event: str) -> DataFrame:
     """Breslow cumulative baseline hazard at every event time."""
-    cuts = cut_points(df, duration)
+    cuts = _risk_cuts(df, duration, len(fit.features), False)
     sets = _risk_sets(df, fit.features, fit.coefficients, duration, event, cuts, False)
     steps = sets.select(F.col("_t").alias("time_days"), (F.col("_d") / F.col("_s0_c")).alias("hazard"))
     return running(steps, [], "time_days", {"cumulative_hazard": ("sum", "hazard")}, cuts=cuts)
