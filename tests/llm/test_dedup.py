@@ -185,3 +185,11 @@ def test_substring_edge_cases(spark):
     got = sorted((r["doc_id"] or -1, r["text"], r["n_removed"]) for r in substring.clean(frame(spark, [(1, twice), (1, twice), (2, twice), (None, twice)])).collect())
     assert got == [(-1, "", 3), (1, twice, 0), (1, twice, 0), (2, "", 3)]
     assert substring.clean(frame(spark, []).limit(0)).count() == 0
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    from tidemark.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(1))
+    assert list(common.lean(lambda batches: (b * 2 for b in batches))(iter([1, 2, 3]))) == [2, 4, 6] and len(given) == 4

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,7 @@ from tidemark.functions.lineage import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "cut", "documents", "field", "row_key", "scratch_path", "ship", "stored", "table", "worker_state"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "cut", "documents", "field", "lean", "row_key", "scratch_path", "ship", "stored", "table", "worker_state"]
 
 
 def ship(name: str) -> None:
@@ -31,6 +31,37 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     return holder.__dict__[name]
 
 
+def _give_back() -> None:
+    """Return memory that Arrow and the C library keep after use to the system."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function over batches in a worker that gives freed memory back after every batch.
+
+    Workers outlive their tasks; what one stage freed but kept would add to the memory of the next.
+    """
+
+    def each(batches: Iterator) -> Iterator:
+        for batch in batches:
+            yield batch
+            del batch
+            _give_back()
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(each(batches))
+        _give_back()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

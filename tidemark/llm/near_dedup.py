@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, field, row_key, ship, worker_state
+from tidemark.llm.common import cut, field, lean, row_key, ship, worker_state
 from tidemark.llm.components import connected
 
 ship(__name__)
@@ -187,7 +187,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame
     source = docs.select(field(docs, "doc_id", "long").alias("doc_id"), field(docs, "text", "string").alias("text"))
     source = source.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     buckets = F.transform(F.sequence(F.lit(0), F.lit(settings.bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * settings.rows + 1, settings.rows)))
-    found = cut(source.mapInPandas(_features(settings), FEATURES).select("doc_id", "row", "n", "node", F.when(F.col("node").isNotNull(), buckets).alias("buckets")))
+    found = cut(source.mapInPandas(lean(_features(settings)), FEATURES).select("doc_id", "row", "n", "node", F.when(F.col("node").isNotNull(), buckets).alias("buckets")))
     reps = found.where("node is not null").groupBy("node").agg(F.min(F.struct("row", "n", "buckets")).alias("rep"))
     banded = reps.select("node", "rep.row", "rep.n", F.explode("rep.buckets").alias("bucket"))
     # Written first, so that the join has a shuffle of its own on both sides and Spark can split hot buckets.
@@ -196,7 +196,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame
     # Sets are rebuilt from the texts of one row per class that shares a bucket.
     wanted = members.groupBy("row").agg(F.min("node").alias("node"))
     texts = source.join(wanted, "row").dropDuplicates(["row"]).select("node", "text")
-    sets = cut(texts.mapInPandas(_sets(settings), "node binary, items array<bigint>, signature array<int>, marks binary"))
+    sets = cut(texts.mapInPandas(lean(_sets(settings)), "node binary, items array<bigint>, signature array<int>, marks binary"))
     pairs = members.where("node <> centre").select("node", "centre").distinct()
     signed = sets.select("node", "signature")
     agreed = pairs.join(signed, "node").join(signed.select(F.col("node").alias("centre"), F.col("signature").alias("other")), "centre")

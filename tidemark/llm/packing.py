@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import cut, field, ship, worker_state
+from tidemark.llm.common import cut, field, lean, ship, worker_state
 
 ship(__name__)
 
@@ -150,7 +150,7 @@ def _cut(path: str, end_id: int, capacity: int):
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Token pieces of every document: its ids and ``end_id``, cut after each ``capacity`` ids."""
     source = docs.select(field(docs, "doc_id", "long").alias("doc_id"), field(docs, "text", "string").alias("text"))
-    return source.mapInPandas(_cut(tokenizer, end_id, capacity), PIECES)
+    return source.mapInPandas(lean(_cut(tokenizer, end_id, capacity)), PIECES)
 
 
 class Filler:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, field, ship, stored
+from tidemark.llm.common import cut, field, lean, ship, stored
 
 ship(__name__)
 
@@ -169,7 +169,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def figures(docs: DataFrame) -> DataFrame:
     """Figures of every row, written to the shared folder: metadata as given and numbers of the text."""
     pages = docs.select(*[field(docs, n, k).alias(n) for n, k in (("doc_id", "long"), ("lang", "string"), ("source", "string"), ("n_chars", "long"), ("text", "string"))])
-    return stored(pages.mapInPandas(_measure, FIGURES), "figures")
+    return stored(pages.mapInPandas(lean(_measure), FIGURES), "figures")
 
 
 def _handing(unlabelled: DataFrame) -> Callable[[list[Logistic], tuple[int, int]], Handed]:
@@ -187,7 +187,7 @@ def _handing(unlabelled: DataFrame) -> Callable[[list[Logistic], tuple[int, int]
                     yield batch.iloc[rows].assign(view=view, label=label, doubt=doubt, n_chars=batch["n_chars"].iloc[rows].astype("Int64"))
 
         first = F.row_number().over(W.partitionBy("view", "label").orderBy("doubt", "turn", "doc_id"))
-        chosen = unlabelled.mapInPandas(best, shape).withColumn("_n", first).where((F.col("_n") <= max(quota)) & (F.col("_n") <= F.when(F.col("label") == 1, quota[1]).otherwise(quota[0])))
+        chosen = unlabelled.mapInPandas(lean(best), shape).withColumn("_n", first).where((F.col("_n") <= max(quota)) & (F.col("_n") <= F.when(F.col("label") == 1, quota[1]).otherwise(quota[0])))
         rows = chosen.toPandas().sort_values(["view", "label", "_n"], ignore_index=True)
         taken.update(map(int, rows["doc_id"]))
         handed = []
