@@ -10,7 +10,7 @@ from tidemark.catalog.cube import daily_cube, kept_fact, narrow_fact
 from tidemark.operators import checks, facts, rules
 from tidemark.operators.metrics import metric_observations
 from tidemark.operators.registry import REGISTRY, resolve
-from tidemark.plans import shared
+from tidemark.plans import binding, shared
 from tidemark.plans.config import AnalyticsConfig, CohortSpec
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +121,21 @@ def test_rule_sets_are_published_on_their_own(spark):
     rows = quality.rule_set(spark, own, rules.funnel_state_rules)
     assert {r["code"] for r in rows.select("code").collect()} == {"funnel.state", "funnel.stage_unknown", "commerce.campaign_attribution"}
     assert shared.published(spark, own, "source-declared_key_rules") is None and shared.published(spark, own, "s_orders") is None
+
+
+def test_given_tables_are_opened_once(spark, monkeypatch):
+    opened, base = [], binding.base
+    monkeypatch.setattr(binding, "base", lambda spark, sf_dir, name: opened.append(name) or base(spark, sf_dir, name))
+    tables = tables_of(spark, f"{SF}/./")
+    for name in ("customers", "products", "deployments", "shipments", "warehouses", "order_items"):
+        assert tables[name].columns
+    assert sorted(opened) == sorted(set(opened)) and {"customer", "events", "lineitem"} <= set(opened)
+
+
+def test_cohort_reconciliation_makes_additive_metrics_only(spark):
+    own, key = f"{SF}/./.", ("metric_name", "time_grain", "cohort_name", "gap")
+    alone = quality.f12(spark, own).select(*key)
+    made = {r["metric_name"] for r in shared.published(spark, own, "cube-daily-additive").select("metric_name").distinct().collect()}
+    assert made == {m.name for m in REGISTRY.values() if m.calculation in checks.ADDITIVE} and shared.published(spark, own, "cube-daily") is None
+    whole = quality.f12(spark, SF).select(*key) if daily_cube(spark, SF) else None
+    assert alone.count() == 288 and alone.exceptAll(whole).isEmpty() and whole.exceptAll(alone).isEmpty()
