@@ -8,7 +8,7 @@ from tidemark.catalog.common import tables_of
 from tidemark.catalog import anomalies, cube, quality
 from tidemark.catalog.cube import daily_cube, kept_fact, narrow_fact
 from tidemark.operators import checks, facts, rules
-from tidemark.operators.metrics import metric_observations
+from tidemark.operators.metrics import metric_observations, observation_counts
 from tidemark.operators.registry import REGISTRY, resolve
 from tidemark.plans import binding, shared
 from tidemark.plans.config import AnalyticsConfig, CohortSpec
@@ -139,3 +139,13 @@ def test_cohort_reconciliation_makes_additive_metrics_only(spark):
     assert made == {m.name for m in REGISTRY.values() if m.calculation in checks.ADDITIVE} and shared.published(spark, own, "cube-daily") is None
     whole = quality.f12(spark, SF).select(*key) if daily_cube(spark, SF) else None
     assert alone.count() == 288 and alone.exceptAll(whole).isEmpty() and whole.exceptAll(alone).isEmpty()
+
+
+def test_groups_without_values_and_empty_facts_are_counted_as_in_the_cube(spark):
+    ddl = "payment_attempt_id string, attempted_at timestamp_ntz, latency_ms bigint, region string, approved boolean"
+    config = AnalyticsConfig(cohorts=(CohortSpec("overall"), CohortSpec("region", ("region",))), funnel_cohorts=("overall",), contributions=())
+    for rows in ([("a", datetime(2024, 1, 1, 1), None, None, True), ("b", datetime(2024, 1, 1, 2), 3, "x", None), ("c", None, 4, "x", True)], []):
+        made = {"payments": spark.createDataFrame(rows, ddl)}, resolve(["payment_latency_p50_ms", "payment_approval_rate"]), config
+        plain = metric_observations(*made).groupBy("metric_name", "time_grain", "cohort_name").count()
+        counted = observation_counts(*made)
+        assert counted.exceptAll(plain).isEmpty() and plain.exceptAll(counted).isEmpty() and counted.isEmpty() == (not rows)
