@@ -157,3 +157,12 @@ def test_series_are_counted_without_their_measures(spark):
     plain = daily_cube(spark, SF).groupBy("metric_name", "time_grain", "cohort_name").count()
     assert counted.exceptAll(plain).isEmpty() and plain.exceptAll(counted).isEmpty() and counted.count() > 400
     assert support.exceptAll(cube.c11(spark, SF)).isEmpty() and listed.exceptAll(cube.c12(spark, SF)).isEmpty() and listed.count() == 43
+
+def test_one_kind_of_fact_check_leaves_the_others_undone(spark):
+    own = f"{SF}//."
+    rows = quality.f2(spark, own)
+    assert shared.published(spark, own, "fact-checks") is None
+    every = quality._fact_checks(spark, own)
+    for some, kind in ((rows, "cardinality"),):
+        same = every.where(f"check_name LIKE '%.{kind}'").select(*some.columns)
+        assert some.exceptAll(same).isEmpty() and same.exceptAll(some).isEmpty() and some.count() == 11
