@@ -160,9 +160,9 @@ def test_series_are_counted_without_their_measures(spark):
 
 def test_one_kind_of_fact_check_leaves_the_others_undone(spark):
     own = f"{SF}//."
-    rows = quality.f2(spark, own)
+    rows, keys = quality.f2(spark, own), quality.f3(spark, own)
     assert shared.published(spark, own, "fact-checks") is None
     every = quality._fact_checks(spark, own)
-    for some, kind in ((rows, "cardinality"),):
+    for some, kind in ((rows, "cardinality"), (keys, "primary_key")):
         same = every.where(f"check_name LIKE '%.{kind}'").select(*some.columns)
         assert some.exceptAll(same).isEmpty() and same.exceptAll(some).isEmpty() and some.count() == 11
