@@ -166,3 +166,23 @@ def test_one_kind_of_fact_check_leaves_the_others_undone(spark):
     for some, kind in ((rows, "cardinality"), (keys, "primary_key")):
         same = every.where(f"check_name LIKE '%.{kind}'").select(*some.columns)
         assert some.exceptAll(same).isEmpty() and same.exceptAll(some).isEmpty() and some.count() == 11
+
+def test_contributions_read_the_daily_cube_where_it_is_published(spark):
+    own = f"{SF}/.//"
+    alone = cube.contributions(spark, own)
+    assert shared.published(spark, own, "cube-contribution") is not None and daily_cube(spark, SF) is not None
+    read = cube.contributions(spark, SF)
+    assert shared.published(spark, SF, "cube-contribution") is None
+    key = ("analysis_name", "baseline_period_start", "cohort_value", "baseline_numerator", "current_denominator")
+    assert alone.select(*key).exceptAll(read.select(*key)).isEmpty() and alone.count() == read.count() > 0
+    assert len({f.rpartition("/")[0] for f in alone.inputFiles()}) == len(cube.DAILY.contributions)
+
+
+def test_metric_checks_come_part_by_part(spark):
+    own = f"{SF}//./"
+    ranges, sums = quality.f10(spark, own), quality.f11(spark, own)
+    assert shared.published(spark, own, "metric-checks") is None and ranges.count() == sums.count() == 43
+    every = quality._metric_checks(spark, own)
+    assert len({f.rpartition("/")[0] for f in every.inputFiles()}) == 4 and every.count() == 2 * 43 + 4
+    same = every.where("check_name LIKE '%.arithmetic'").select("metric_name", "observed_value")
+    assert sums.exceptAll(same).isEmpty() and same.exceptAll(sums).isEmpty()
